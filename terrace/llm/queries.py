@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from terrace.llm.near_duplicates import NearDuplicates
 from terrace.llm.similar_vectors import similar_pairs, similar_vectors
 from terrace.sources.tables import table
 
@@ -15,15 +17,23 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar documents of every document that has a usable embedding."""
-    return similar_vectors(table(spark, folder, "documents"), "doc_id", "embedding", k=10).withColumn("cosine", _round6("cosine"))
+    return similar_vectors(table(spark, folder, "documents"), "doc_id", "embedding", k=10).withColumn("cosine", F.round("cosine", 6))
 
 
-def _round6(name: str):
-    from pyspark.sql import functions as F
+def _title_and_content():
+    return F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
 
-    return F.round(name, 6)
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents that share half at least of their runs of five words."""
+    return NearDuplicates(table(spark, folder, "documents"), "doc_id", _title_and_content(), similarity=0.5).all_pairs()
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document with its class of copies and its group of near duplicates of similarity 0.8 at least."""
+    return NearDuplicates(table(spark, folder, "documents"), "doc_id", _title_and_content()).groups()
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_groups": p4_groups}
 
 ORACLE: dict[str, str] = {}
