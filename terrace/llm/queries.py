@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.llm.leaks import leaked_spans
 from terrace.llm.near_duplicates import NearDuplicates
 from terrace.llm.similar_vectors import similar_pairs, similar_vectors
+from terrace.llm.stuffed_pages import page_shares, stuffed_pages
 from terrace.sources.tables import table
 
 
@@ -34,6 +36,26 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return NearDuplicates(table(spark, folder, "documents"), "doc_id", _title_and_content()).groups()
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_groups": p4_groups}
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Where passages of the evaluation items stand in documents, as spans of words to remove."""
+    return leaked_spans(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold twelve consecutive words of an item's passage, with the item."""
+    return p7_spans(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents made of keywords, links or product tags instead of sentences."""
+    return stuffed_pages(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words each document has, and how many of them stand outside prose."""
+    return page_shares(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLE: dict[str, str] = {}
