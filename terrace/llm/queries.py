@@ -9,8 +9,13 @@ from terrace.llm.leaks import leaked_spans
 from terrace.llm.near_duplicates import NearDuplicates
 from terrace.llm.similar_vectors import similar_pairs, similar_vectors
 from terrace.llm.stuffed_pages import page_shares, stuffed_pages
+from terrace.llm.subjects import document_subjects
+from terrace.plans.lineage import written
 from terrace.sources.tables import table
 
+#: Topics of the store that are shelves, not subjects.
+SHELVES = ["All tags", "Untriaged", "Empty shelf"]
+
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents of cosine 0.80 at least, one among the ten nearest of the other."""
@@ -22,6 +27,21 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return similar_vectors(table(spark, folder, "documents"), "doc_id", "embedding", k=10).withColumn("cosine", F.round("cosine", 6))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the subjects that they treat in a whole section; pages of keywords have none."""
+    documents = table(spark, folder, "documents")
+    labels, topics = table(spark, folder, "subject_labels"), table(spark, folder, "topics")
+    return document_subjects(documents, labels, topics, SHELVES, stuffed=stuffed_pages(documents, "doc_id", "text"))
+
+
+def p2_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents, and what share of all documents with a subject, treat each subject."""
+    found = written(p2_found(spark, folder), "subjects")
+    every = found.agg(F.countDistinct("doc_id").alias("n"))
+    counted = found.groupBy("topic_id").agg(F.count("*").alias("documents")).join(every).withColumn("share", F.round(F.col("documents") / F.col("n"), 6)).drop("n")
+    return table(spark, folder, "topics").select(F.col("id").alias("topic_id"), "name").join(counted, "topic_id")
+
+
 def _title_and_content():
     return F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
 
@@ -56,6 +76,6 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return page_shares(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_composition": p2_composition, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLE: dict[str, str] = {}

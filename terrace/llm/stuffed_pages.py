@@ -225,6 +225,9 @@ def page_shares(df: DataFrame, id_col: str, text_col: str, *, rounds: int = 3) -
     return pages.mapInArrow(score, "doc_id bigint, words bigint, other_words bigint")
 
 
-def stuffed_pages(df: DataFrame, id_col: str, text_col: str, *, share: float = 0.5, rounds: int = 3) -> DataFrame:
-    """``doc_id`` of the pages of which more than ``share`` of the words stand in lines that aren't prose."""
-    return page_shares(df, id_col, text_col, rounds=rounds).filter(F.col("other_words") > F.lit(share) * F.col("words")).select("doc_id")
+def stuffed_pages(df: DataFrame, id_col: str, text_col: str, *, share: float = 0.5, least_words: int = 12, rounds: int = 3) -> DataFrame:
+    """``doc_id`` of the pages of which more than ``share`` of the words stand in lines that aren't prose.
+
+    Pages of fewer than ``least_words`` words (an empty page, a note that one is still to be written) list nothing.
+    """
+    return page_shares(df, id_col, text_col, rounds=rounds).filter((F.col("words") >= least_words) & (F.col("other_words") > F.lit(share) * F.col("words"))).select("doc_id")
