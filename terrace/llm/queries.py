@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.llm.cooccurrence import basket, cooccurrence, found_together, with_lift
 from terrace.llm.leaks import leaked_spans
 from terrace.llm.near_duplicates import NearDuplicates
 from terrace.llm.similar_vectors import similar_pairs, similar_vectors
@@ -56,6 +57,33 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return NearDuplicates(table(spark, folder, "documents"), "doc_id", _title_and_content()).groups()
 
 
+def _baskets(spark: SparkSession, folder: str) -> DataFrame:
+    documents, topics = table(spark, folder, "documents"), table(spark, folder, "topics")
+    return documents.select(basket("tags").alias("items")).unionByName(topics.select(basket("tag_names").alias("items")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of tags in four documents or topics at least, three times as often together as by chance."""
+    return found_together(_baskets(spark, folder))
+
+
+def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of tags that stand together, with counts and lift."""
+    pairs = with_lift(cooccurrence(_baskets(spark, folder))).drop("baskets")
+    return pairs.withColumn("lift", F.round("lift", 6)).withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"})
+
+
+_BASKET_SQL = """
+WITH raw AS (SELECT tags AS t FROM documents UNION ALL SELECT tag_names FROM topics),
+b AS (SELECT row_number() OVER () AS id, list_distinct(list_filter(list_transform(list_filter(t, lambda x: x IS NOT NULL), lambda x: lower(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), lambda x: x <> '')) AS items FROM raw),
+k AS (SELECT id, items FROM b WHERE len(items) > 0),
+i AS (SELECT id, unnest(items) AS item FROM k),
+n AS (SELECT item, count(*) AS n FROM i GROUP BY item),
+p AS (SELECT x.item AS tag_a, y.item AS tag_b, count(*) AS n_ab FROM i x JOIN i y ON x.id = y.id AND x.item < y.item GROUP BY ALL),
+s AS (SELECT p.*, a.n AS n_a, c.n AS n_b, (SELECT count(*) FROM k) AS baskets FROM p JOIN n a ON a.item = tag_a JOIN n c ON c.item = tag_b)
+"""
+
+
 def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Where passages of the evaluation items stand in documents, as spans of words to remove."""
     return leaked_spans(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage")
@@ -76,6 +104,9 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return page_shares(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_composition": p2_composition, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_composition": p2_composition, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p5_found": _BASKET_SQL + "SELECT tag_a, tag_b FROM s WHERE n_ab >= 4 AND n_ab * baskets >= 3 * n_a * n_b",
+    "p5_pairs": _BASKET_SQL + "SELECT tag_a, tag_b, n_ab, n_a, n_b, round(n_ab * baskets::DOUBLE / (n_a * n_b), 6) AS lift FROM s",
+}
