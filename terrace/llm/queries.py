@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.llm.containers import fill, filled_containers
 from terrace.llm.cooccurrence import basket, cooccurrence, found_together, with_lift
 from terrace.llm.leaks import leaked_spans
 from terrace.llm.near_duplicates import NearDuplicates
@@ -84,6 +85,16 @@ s AS (SELECT p.*, a.n AS n_a, c.n AS n_b, (SELECT count(*) FROM k) AS baskets FR
 """
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text, or piece of it, with its container of 2,048 tokens."""
+    return filled_containers(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How many containers the documents take and how full these are."""
+    return fill(p6_containers(spark, folder))
+
+
 def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Where passages of the evaluation items stand in documents, as spans of words to remove."""
     return leaked_spans(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage")
@@ -104,7 +115,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return page_shares(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_composition": p2_composition, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_composition": p2_composition, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLE: dict[str, str] = {
     "p5_found": _BASKET_SQL + "SELECT tag_a, tag_b FROM s WHERE n_ab >= 4 AND n_ab * baskets >= 3 * n_a * n_b",
