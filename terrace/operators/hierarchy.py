@@ -115,9 +115,9 @@ def _doubled(links: DataFrame, paths: bool) -> DataFrame:
     still to end, some chain ends in the next round; so when a round ends none, the rest run into cycles.
     """
     key = ["grp", "node"]
-    start = links.select(*key, F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("steps"))
+    start = links.select(*key, F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"))
     known = written(start.withColumn("root", F.when(F.col("up").isNull(), F.col("node"))), "up")
-    left, k = known.filter("up IS NOT NULL").count(), 0
+    left = known.filter("up IS NOT NULL").count()
     while left:
         added = known.filter("up IS NOT NULL").groupBy("grp", F.col("up").alias("node")).agg(F.sum("size").alias("more"))
         target = known.select("grp", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("steps").alias("steps2"))
@@ -127,12 +127,12 @@ def _doubled(links: DataFrame, paths: bool) -> DataFrame:
             *key,
             F.col("up2").alias("up"),
             (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
-            F.when(moving, F.lit(2**k) + F.col("steps2")).otherwise(F.col("steps")).alias("steps"),
+            (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),  # to the node above, or to the root
             F.when(moving, F.col("root2")).otherwise(F.col("root")).alias("root"),
         )
         known, old = written(step, "up"), known
         dropped(old)
-        now, k = known.filter("up IS NOT NULL").count(), k + 1
+        now = known.filter("up IS NOT NULL").count()
         if now == left:
             break
         left = now
