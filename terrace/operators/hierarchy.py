@@ -91,9 +91,12 @@ def _cycles(parent: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
 
 def _bundles(paths: bool):
     def bundle(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("grp", "ascending"), ("part", "ascending"), ("node", "ascending")])
-        group = table["grp"].combine_chunks().dictionary_encode().indices.to_pylist()
-        name = table["node"].to_numpy()
+        table = table.sort_by([("grp", "ascending"), ("part", "ascending"), ("node", "ascending"), ("parent", "ascending")])
+        group, name = table["grp"].combine_chunks().dictionary_encode().indices.to_numpy(), table["node"].to_numpy()
+        again = np.r_[False, (group[1:] == group[:-1]) & (name[1:] == name[:-1])]
+        if again.any():  # given with several parents: the smallest counts
+            table, group, name = table.filter(pa.array(~again)), group[~again], name[~again]
+        group = group.tolist()
         row = {key: k for k, key in enumerate(zip(group, name))}
         parent = np.fromiter((row.get(key, -1) for key in zip(group, table["parent"].to_pylist())), np.int64, len(name))
         made = solve(parent, name, paths)
@@ -209,8 +212,7 @@ def hierarchy(df: DataFrame, group_col: str, node_col: str, parent_col: str, *,
     its smallest parent. Other columns are not read; an empty table gives no rows.
     """
     links = df.select(tidy(group_col).alias("grp"), tidy(node_col).alias("node"), tidy(parent_col).alias("parent")).filter("grp IS NOT NULL AND node IS NOT NULL")
-    links = links.groupBy("grp", "node").agg(F.min("parent").alias("parent"))
-    links = written(links.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")), "links")
+    links = written(links.distinct().withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")), "links")
     counts = links.groupBy("grp").agg(F.count("*").alias("n"))
     large = written(counts.filter(F.col("n") > small_rows).select("grp"), "large")
     has_large = not large.isEmpty()
@@ -219,7 +221,7 @@ def hierarchy(df: DataFrame, group_col: str, node_col: str, parent_col: str, *,
     solved = small.withColumn("bundle", F.pmod(F.xxhash64("grp"), F.lit(bundles))).groupBy("bundle").applyInArrow(_bundles(paths), NODES)
     if not has_large:
         return solved
-    big = links.join(large, "grp", "left_semi")
+    big = links.join(large, "grp", "left_semi").groupBy("grp", "node", "part").agg(F.min("parent").alias("parent"))
     parents = big.select("grp", F.col("node").alias("parent"), F.lit(True).alias("found"))
     big = big.join(parents, ["grp", "parent"], "left").select("grp", "node", F.when(F.col("found"), F.col("parent")).alias("parent"), "part")
     return solved.unionByName(_doubled(written(big, "big"), paths))
