@@ -14,7 +14,7 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 def hash_embeddings(texts: list[str | None], dim: int = 384, most: int = 10_000) -> np.ndarray:
     """Counts of the hashed runs of four bytes among a text's first ``most``, to length one; zeros for shorter texts."""
-    out = np.zeros((len(texts), dim), np.float32)
+    out = np.zeros((len(texts), dim))
     for k, text in enumerate(texts):
         b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
         n = min(len(b) - 3, most)
@@ -28,7 +28,7 @@ def hash_embeddings(texts: list[str | None], dim: int = 384, most: int = 10_000)
 def hash_embedding(text: Column, dim: int = 384) -> Column:
     """``hash_embeddings`` in Arrow batches."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
         return pd.Series(list(hash_embeddings(texts.tolist(), dim)))
 
@@ -38,12 +38,12 @@ def hash_embedding(text: Column, dim: int = 384) -> Column:
 def with_fallback(neural: Embedder | None, dim: int = 384) -> Callable[[Column], Column]:
     """Embeddings by ``neural``, by hashing where there is none, it fails, or its width is another."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
         given = texts.tolist()
         if neural is not None:
             try:
-                made = np.asarray(neural([t or "" for t in given]), np.float32)
+                made = np.asarray(neural([t or "" for t in given]), np.float64)
                 if made.shape == (len(given), dim):
                     return pd.Series(list(made))
             except Exception:  # any failure of a model falls back

@@ -143,7 +143,8 @@ def fused(lexical: DataFrame, vector: DataFrame, k: int | None = None, weight: f
     """
     both = max_normalized(lexical).select("question_id", "key", (F.col("score") * weight).alias("l"), F.lit(None).cast("double").alias("v")).unionByName(vector.select("question_id", "key", F.lit(None).cast("double").alias("l"), (F.col("score") * (1 - weight)).alias("v")))
     source = F.when(F.max("l").isNotNull() & F.max("v").isNotNull(), "hybrid").when(F.max("l").isNotNull(), "bm25").otherwise("vector")
-    sums = both.groupBy("question_id", "key").agg(F.round(F.coalesce(F.max("l"), F.lit(0.0)) + F.coalesce(F.max("v"), F.lit(0.0)), 6).alias("score"), source.alias("source"))
+    sum_ = F.coalesce(F.max("l"), F.lit(0.0)) + F.coalesce(F.max("v"), F.lit(0.0))
+    sums = both.groupBy("question_id", "key").agg((F.floor(sum_ * 1e6 + 0.5) / 1e6).alias("score"), source.alias("source"))
     return sums if k is None else ranked(sums, k).drop("rank")
 
 
