@@ -157,7 +157,7 @@ def nearest_in_cell(ids: np.ndarray, x: np.ndarray, items: np.ndarray, k: int, t
 
 def similar_vectors(
     df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: int = 384, floor: float = -1.0, cell_rows: int = 4096,
-    trees: int = 3, probes: int = 4, sample_rows: int = 32_768, local_trees: int = 2, local_visits: int = 4, leaf_rows: int = 512, seed: int = 7,
+    trees: int = 4, probes: int = 5, sample_rows: int = 32_768, local_trees: int = 2, local_visits: int = 4, leaf_rows: int = 512, seed: int = 7,
 ) -> DataFrame:
     """The ``k`` vectors most similar to each vector: ``id, neighbour, cosine``, both ways, ids unique in ``df``.
 
