@@ -1,0 +1,46 @@
+"""Rate limits: a bucket of tokens for each caller, filled steadily, from which every admitted call takes one."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def admit(seconds: np.ndarray, level: float, last: float, capacity: float, rate: float, idle: float) -> tuple[np.ndarray, float, float]:
+    """Which calls, in order of time, find a token; the level and time after them. After ``idle`` seconds without a call the bucket is full again."""
+    out = np.zeros(len(seconds), bool)
+    for k, now in enumerate(seconds.tolist()):
+        gap = now - last
+        level = capacity if gap >= idle else min(capacity, level + max(0.0, gap) * rate)
+        last = now
+        if level >= 1:
+            out[k] = True
+            level -= 1
+    return out, level, last
+
+
+def rate_limited(calls: DataFrame, id_col: str, key_col: str, time_col: str, *, capacity: float = 5, rate: float = 0.2, idle: float = 1800) -> DataFrame:
+    """``id, key, admitted`` for every call that has a key and a time.
+
+    Each key's calls are taken in the order of (time, id). Partitions are sorted by key and time and read as a stream,
+    with only the current key's bucket in memory, however many calls a key has.
+    """
+    source = calls.select(F.col(id_col).cast("bigint").alias("id"), F.col(key_col).cast("string").alias("key"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("at")).filter("key IS NOT NULL AND at IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, level, last = None, capacity, -np.inf
+        for b in batches:
+            keys, at = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy() / 1e6
+            admitted = np.zeros(len(keys), bool)
+            cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)] if len(keys) else np.array([0])
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if keys[start] != key:
+                    key, level, last = keys[start], capacity, -np.inf
+                admitted[start:end], level, last = admit(at[start:end], level, last, capacity, rate, idle)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(admitted)], ["id", "key", "admitted"])
+
+    return source.repartition("key").sortWithinPartitions("key", "at", "id").mapInArrow(run, "id bigint, key string, admitted boolean")

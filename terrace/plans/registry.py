@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.plans import catalogue, expressions, hierarchies, maintenance, searches
+from terrace.plans import catalogue, expressions, extras, hierarchies, maintenance, searches
 
-_MODULES = (catalogue, expressions, hierarchies, searches, maintenance)
+_MODULES = (catalogue, expressions, hierarchies, searches, maintenance, extras)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
