@@ -23,10 +23,10 @@ from terrace.plans.lineage import written
 
 STATES = ("prose", "link list", "tag list", "menu")
 #: Marks of a line and how many values each takes.
-MARKS = {"sentence ends": 3, "links": 3, "separators": 3, "function words": 3, "repeats": 3, "length": 3, "table or code": 2}
+MARKS = {"sentence ends": 4, "links": 3, "separators": 3, "function words": 3, "repeats": 3, "length": 3, "table or code": 2}
 #: Chance of each value of each mark in a line of each state, before fitting.
 START = {
-    "sentence ends": [(0.15, 0.05, 0.80), (0.95, 0.03, 0.02), (0.96, 0.03, 0.01), (0.96, 0.03, 0.01)],
+    "sentence ends": [(0.14, 0.01, 0.05, 0.80), (0.55, 0.40, 0.03, 0.02), (0.45, 0.51, 0.03, 0.01), (0.80, 0.16, 0.03, 0.01)],
     "links": [(0.97, 0.02, 0.01), (0.04, 0.16, 0.80), (0.94, 0.04, 0.02), (0.80, 0.12, 0.08)],
     "separators": [(0.80, 0.17, 0.03), (0.40, 0.30, 0.30), (0.30, 0.20, 0.50), (0.30, 0.20, 0.50)],
     "function words": [(0.12, 0.28, 0.60), (0.90, 0.08, 0.02), (0.92, 0.07, 0.01), (0.90, 0.08, 0.02)],
@@ -65,7 +65,7 @@ def line_marks(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         glue = sum(x in FUNCTION_WORDS for x in w) / n
         again = sum(pairs[p] > 2 for p in zip(w, w[1:])) / max(1, n - 1)
         codes[k] = (
-            0 if not ends else 1 if ends * 60 < n else 2,
+            int(n > 25) if not ends else 2 if ends * 60 < n else 3,  # a long line without a sentence's end says more
             0 if not links else 1 if links * 12 < n else 2,
             0 if between * 12 < n else 1 if between * 5 < n else 2,
             0 if glue < 0.04 else 1 if glue < 0.15 else 2,
