@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from terrace.functions.markdown import Piece
 from terrace.operators import catalog as c
 from terrace.operators.chunking import last_by_path, split_chapters
 from terrace.sources.tables import table
@@ -302,12 +302,25 @@ def hot_ingest_process(spark: SparkSession, folder: str) -> DataFrame:
 # Chapters
 
 
-@query()
-def split_chapters_all(spark: SparkSession, folder: str) -> DataFrame:
+def split_chapters_query(spark: SparkSession, folder: str) -> DataFrame:
     """Every document cut into chapters."""
     return split_chapters(table(spark, folder, "documents"), "id", "title", "content").select("document_id", "path", "title", "content", "tokens")
 
 
+QUERIES["split_chapters"] = split_chapters_query
+
+
+@query()
+def splitter_plugin(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents cut by another splitter: a chapter for each block between blank lines."""
+
+    def by_paragraph(text: str | None, budget: int) -> list[Piece]:
+        parts = [p.strip() for p in (text or "").split("\n\n")]
+        return [Piece([f"p{k}"], p, "") for k, p in enumerate(parts) if p]
+
+    return split_chapters(table(spark, folder, "documents"), "id", "title", "content", splitter=by_paragraph).select("document_id", "path", "content")
+
+
 @query()
 def cold_load(spark: SparkSession, folder: str) -> DataFrame:
     """Chapters of cold documents, one for each path: what the index is loaded with."""

@@ -232,3 +232,27 @@ def mean_pool_l2(spark: SparkSession, folder: str) -> DataFrame:
     return pooled.select("label", F.round(F.sqrt(v.dot(F.col("p"), F.col("p"))), 9).alias("length"), F.size("p").cast("bigint").alias("width"))
 
 
+@query("SELECT id, sha256(id || ':' || coalesce(title, '')) AS hash FROM documents")
+def sha256_hex(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("id", F.sha2(F.concat_ws(":", "id", F.coalesce("title", F.lit(""))), 256).alias("hash"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '10.' || (user_id % 250) || '.7' ELSE 'fd00:' || user_id || ':0:1' END AS network FROM events")
+def ip_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses of both kinds cut to their networks."""
+    four = F.concat(F.lit("10."), (F.col("user_id") % 250).cast("string"), F.lit(".7."), (F.col("event_id") % 250).cast("string"))
+    six = F.concat(F.lit("fd00:"), F.col("user_id").cast("string"), F.lit(":0:1:2:3:4:5"))
+    return table(spark, folder, "events").select("event_id", t.ip_prefix(F.when(F.col("event_id") % 2 == 0, four).otherwise(six)).alias("network"))
+
+
+@query(f"SELECT id, {sql_prefix(f'lower({sql_strip("title")})', 512)} AS agent FROM documents WHERE title IS NOT NULL")
+def ua_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").filter("title IS NOT NULL").select("id", t.byte_prefix(F.lower(t.strip_text(F.col("title"))), 512).alias("agent"))
+
+
+@query("SELECT a.vec_id, round(greatest(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0), 6) AS cosine FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) b")
+def clamp_cosine(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine of each vector to the first, 0 for negative ones."""
+    vectors = table(spark, folder, "embeddings")
+    first = vectors.agg(F.min_by("embedding", "vec_id").alias("e"))
+    return vectors.join(F.broadcast(first)).select("vec_id", F.round(F.greatest(v.cosine(F.col("embedding"), F.col("e")), F.lit(0.0)), 6).alias("cosine"))  # one row

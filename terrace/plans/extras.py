@@ -177,7 +177,5 @@ def stream_usage(spark: SparkSession, folder: str) -> DataFrame:
 def stream_index(spark: SparkSession, folder: str) -> DataFrame:
     """The chapters of cold documents as a stream of documents leaves them."""
     path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    jobs.follow_documents(jobs.stream(spark, folder, "documents", files=1000), f"{path}/versions", f"{path}/progress").awaitTermination()
-    versions = spark.read.parquet(f"{path}/versions")
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == last).drop("version")
+    jobs.follow_documents(jobs.stream(spark, folder, "documents"), f"{path}/batches", f"{path}/progress").awaitTermination()
+    return jobs.current_index(spark, f"{path}/batches")

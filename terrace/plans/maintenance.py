@@ -142,6 +142,17 @@ def agg_distinct_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return live.groupBy("user_id").agg(F.count("*").alias("sessions"), F.countDistinct("event_type").alias("fingerprints"), (F.count("*") > 0).alias("active"))
 
 
+@query("SELECT user_id, count(*) AS sessions FROM events GROUP BY user_id")
+def agg_session_count(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
+@query("SELECT c_custkey, EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND ts > TIMESTAMP '2024-01-13') AS active FROM customer")
+def has_active_session(spark: SparkSession, folder: str) -> DataFrame:
+    live = table(spark, folder, "events").filter(F.col("ts") > F.lit("2024-01-13").cast("timestamp_ntz")).select(F.col("user_id").alias("c_custkey")).distinct().withColumn("active", F.lit(True))
+    return table(spark, folder, "customer").select("c_custkey").join(live, "c_custkey", "left").select("c_custkey", F.coalesce("active", F.lit(False)).alias("active"))
+
+
 @query("SELECT e.event_id, c.c_name, e.event_type FROM events e JOIN customer c ON c.c_custkey = e.user_id")
 def join_sessions_users(spark: SparkSession, folder: str) -> DataFrame:
     users = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")

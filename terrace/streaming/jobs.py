@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from terrace.operators.catalog import replaced_chapters
 from terrace.operators.chunking import last_by_path, split_chapters
 from terrace.operators.rates import admit
 
@@ -57,25 +56,29 @@ def limited_calls(calls: DataFrame, id_col: str, key_col: str, time_col: str, *,
 
 
 def follow_documents(documents: DataFrame, index_path: str, checkpoint: str, *, status: str = "cold") -> StreamingQuery:
-    """Keeps a table of chapters that follows changed documents: each batch cuts its documents anew and replaces their chapters.
+    """Keeps a table of chapters that follows changed documents: each batch cuts its documents anew.
 
-    Every batch writes a version of its own below ``index_path`` and reads the one before, so that a repeated batch
-    gives the same result. Of a document that comes several times in a batch, the row updated last counts.
+    A batch writes only its own documents' chapters, below ``batch=<number>``, and a row without path for documents
+    that have none any more; ``current_index`` reads what holds. A repeated batch writes the same again. Of a document
+    that comes several times in a batch, the row updated last counts.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         newest = batch.groupBy("id").agg(F.max_by(F.struct("title", "content", "status"), "updated_at").alias("d")).select("id", "d.*")
         cut = last_by_path(split_chapters(newest.filter(F.col("status") == status), "id", "title", "content"))
-        gone = newest.filter(F.col("status") != status).select(F.col("id").alias("document_id"))
-        index = cut
-        if number > 0:
-            index = replaced_chapters(spark.read.parquet(f"{index_path}/version={number - 1}").join(gone, "document_id", "left_anti"), cut)
-        index.write.mode("overwrite").parquet(f"{index_path}/version={number}")
+        gone = newest.filter(F.col("status").isNull() | (F.col("status") != status)).select(F.col("id").alias("document_id"))
+        cut.unionByName(gone, allowMissingColumns=True).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
 
     return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_index(spark: SparkSession, index_path: str) -> DataFrame:
+    """The chapters that hold after all batches: those of each document's last one."""
+    rows = spark.read.parquet(index_path)
+    last = rows.groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["document_id", "batch"], "left_semi").filter("path IS NOT NULL").drop("batch")
+
+
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over all that is there now and writes its rows as Parquet."""
     df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
