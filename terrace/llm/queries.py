@@ -95,6 +95,29 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill(p6_containers(spark, folder))
 
 
+_WORDS = r"regexp_extract_all(regexp_replace(lower({}), '([\x{{4E00}}-\x{{9FFF}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
+_USABLE = "len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_NEAREST = f"""
+WITH d AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM documents WHERE {_USABLE}),
+c AS (SELECT a.doc_id AS id, b.doc_id AS neighbour, list_cosine_similarity(a.e, b.e) AS cosine FROM d a JOIN d b ON a.doc_id <> b.doc_id),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, neighbour) AS k FROM c) WHERE k <= 10)
+"""
+_SHINGLED = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(title, '') || ' ' || coalesce(content, '')")} AS w FROM documents),
+r AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 20)),
+n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM r a JOIN r b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_a, doc_b FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE 2 * shared >= x.n + y.n - shared
+"""
+_LEAKED = f"""
+WITH i AS (SELECT item_id, {_WORDS.format("passage")} AS w FROM eval_items WHERE passage IS NOT NULL),
+g AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (run)
+"""
+
+
 def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Where passages of the evaluation items stand in documents, as spans of words to remove."""
     return leaked_spans(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage")
@@ -118,6 +141,9 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_composition": p2_composition, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLE: dict[str, str] = {
+    "p1_found": _NEAREST + "SELECT DISTINCT least(id, neighbour) AS doc_a, greatest(id, neighbour) AS doc_b FROM k WHERE cosine >= 0.8",
+    "p4_found": _SHINGLED,
+    "p7_found": _LEAKED,
     "p5_found": _BASKET_SQL + "SELECT tag_a, tag_b FROM s WHERE n_ab >= 4 AND n_ab * baskets >= 3 * n_a * n_b",
     "p5_pairs": _BASKET_SQL + "SELECT tag_a, tag_b, n_ab, n_a, n_b, round(n_ab * baskets::DOUBLE / (n_a * n_b), 6) AS lift FROM s",
 }
