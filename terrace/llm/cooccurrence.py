@@ -49,9 +49,10 @@ def cooccurrence(baskets: DataFrame, *, least_together: int = 1, most_heavy: int
     top = [r[0] for r in often.orderBy(F.desc("n"), "item").limit(most_heavy).collect()]  # the matrix's rows
     heavy = spark.sparkContext.broadcast({item: k for k, item in enumerate(top)})
 
-    light_items = often.join(F.broadcast(spark.createDataFrame([(x,) for x in top], "item string")), "item", "left_anti")
+    named = F.broadcast(spark.createDataFrame([(x,) for x in top], "item string"))
+    light_items = often.join(named, "item", "left_anti")
     numbered = written(kept.withColumn("basket", F.monotonically_increasing_id()), "baskets")
-    lights = numbered.select("basket", F.explode("items").alias("item")).join(light_items.select("item"), "item")
+    lights = numbered.select("basket", F.explode("items").alias("item")).join(named, "item", "left_anti").join(light_items.select("item"), "item")
     lights = lights.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("light"))
     joined = written(numbered.join(lights, "basket", "left").select("items", F.coalesce("light", F.array().cast("array<string>")).alias("light")), "split")
 
