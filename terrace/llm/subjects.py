@@ -254,9 +254,11 @@ class SubjectModel:
                     tags = tag_tokens(held)
                     hint = outputs(tags) * TAG_WEIGHT if tags else None
                     sections: dict[int, dict[int, float]] = {}
-                    for section, text in paragraphs(content):
+                    parts = paragraphs(content)
+                    headed = any(section for section, _ in parts)
+                    for section, text in parts:
                         found = tokens(text)
-                        if len(found) < least_words:
+                        if len(found) < least_words or headed and not section:  # what stands before the first heading is no section
                             continue
                         out = outputs(found)
                         out = (out if hint is None else out * (1 - TAG_WEIGHT) + hint) + p.offsets
