@@ -99,7 +99,7 @@ def units(keys: list, vectors, dim: int) -> tuple[list, np.ndarray]:
 def _best(sent, k: int, dim: int, clamp: bool, skip_self: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, q = sent.value
-        best_s, best_k = np.full((len(asked), k), -np.inf), np.full((len(asked), k), None, object)
+        best_s, best_k = np.full((len(asked), k), -np.inf), np.full((len(asked), k), "", "U1")
         place = {key: n for n, key in enumerate(asked)}
         for b in batches:
             keys, x = units(b.column(0).to_pylist(), b.column(1), dim)
@@ -112,17 +112,16 @@ def _best(sent, k: int, dim: int, clamp: bool, skip_self: bool):
                     for n, key in enumerate(some):
                         if key in place:
                             score[place[key], n] = -np.inf
-                names = np.array(some, object)
+                names = np.array(some, str)
                 alike = np.argsort(names, kind="stable")  # ties go to the smaller key
                 names, score = names[alike], score[:, alike]
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 s = np.concatenate([best_s, np.take_along_axis(score, top, 1)], axis=1)
                 n = np.concatenate([best_k, names[top]], axis=1)
-                for row in range(len(asked)):
-                    order = sorted(range(s.shape[1]), key=lambda j: (-s[row, j], n[row, j] or ""))[:k]
-                    best_s[row], best_k[row] = s[row, order], n[row, order]
+                order = np.lexsort((n, -s), axis=1)[:, :k]
+                best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
         row, col = np.nonzero(np.isfinite(best_s))
-        yield pa.RecordBatch.from_arrays([pa.array([asked[r] for r in row], pa.string()), pa.array(list(best_k[row, col]), pa.string()), pa.array(best_s[row, col])], ["question_id", "key", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array([asked[r] for r in row], pa.string()), pa.array(best_k[row, col].tolist(), pa.string()), pa.array(best_s[row, col])], ["question_id", "key", "score"])
 
     return search
 
