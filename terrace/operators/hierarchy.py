@@ -6,8 +6,9 @@ its subtree within its root's tree. A node's ancestors are the nodes of its tree
 descendants those whose numbers its range holds. Nodes that the way up leaves unfinished lie on cycles.
 
 Groups of at most ``small_rows`` rows (traces, mostly) are worked off in tasks, many groups together, level by level.
-Larger groups are worked off as joins over all executors: both passes then take steps of doubled length, so that the
-number of rounds grows with the logarithm of the depth, not with the depth.
+Larger groups are first divided into their trees: every node looks for its root in steps of doubled length, so that the
+number of rounds grows with the logarithm of the depth, not with the depth. Trees that are larger still are worked off
+as joins over all executors, both passes in steps of doubled length too.
 """
 
 from __future__ import annotations
@@ -110,49 +111,53 @@ def _bundles(paths: bool):
 # Large groups, as joins ----------------------------------------------------------------------------------------
 
 
-def _doubled(links: DataFrame, paths: bool) -> DataFrame:
-    """The same columns as ``_bundles`` for groups of any size.
+def _units(links: DataFrame) -> DataFrame:
+    """``links`` with ``unit``: the root of each node's tree, or null for nodes whose chain runs into a cycle.
 
-    After round ``k`` a node knows the node 2^k steps above it, unless its chain ends before, and ``size`` counts the
-    descendants fewer than 2^k steps below it; those at exactly that distance then add theirs. As long as a chain is
+    After round ``k`` a node knows the node 2^k steps above it, unless its chain ends before. As long as a chain is
     still to end, some chain ends in the next round; so when a round ends none, the rest run into cycles.
     """
-    key = ["grp", "node"]
-    start = links.select(*key, F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps"))
-    known = written(start.withColumn("root", F.when(F.col("up").isNull(), F.col("node"))), "up")
+    known = written(links.select("grp", "node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("node")).alias("unit")), "up")
     left = known.filter("up IS NOT NULL").count()
     while left:
-        added = known.filter("up IS NOT NULL").groupBy("grp", F.col("up").alias("node")).agg(F.sum("size").alias("more"))
-        target = known.select("grp", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("steps").alias("steps2"))
-        moving = F.col("up").isNotNull()
-        joined = known.join(added, key, "left").join(target, ["grp", "up"], "left")
-        step = joined.select(
-            *key,
-            F.col("up2").alias("up"),
-            (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
-            (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),  # to the node above, or to the root
-            F.when(moving, F.col("root2")).otherwise(F.col("root")).alias("root"),
-        )
+        target = known.select("grp", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("unit").alias("unit2"))
+        step = known.join(target, ["grp", "up"], "left").select("grp", "node", F.col("up2").alias("up"), F.coalesce("unit", "unit2").alias("unit"))
         known, old = written(step, "up"), known
         dropped(old)
         now = known.filter("up IS NOT NULL").count()
         if now == left:
             break
         left = now
-    tree = known.filter("up IS NULL").select(*key, "root", F.col("steps").alias("depth"), "size")
-    sized = written(links.join(tree, key), "sized")
-    hung = _below_cycles(written(links.join(known.filter("up IS NOT NULL").select(*key), key), "rest")) if left else None
+    return links.join(known.select("grp", "node", "unit"), ["grp", "node"])
+
+
+def _doubled(links: DataFrame, paths: bool) -> DataFrame:
+    """The same columns as ``_bundles`` for trees of any size.
+
+    After round ``k`` a node knows the node 2^k steps above it, unless it is nearer to its root, and ``size`` counts
+    the descendants fewer than 2^k steps below it; those at exactly that distance then add theirs.
+    """
+    key = ["grp", "node"]
+    known = written(links.select(*key, F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps")), "up")
+    while not known.filter("up IS NOT NULL").isEmpty():
+        added = known.filter("up IS NOT NULL").groupBy("grp", F.col("up").alias("node")).agg(F.sum("size").alias("more"))
+        target = known.select("grp", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
+        joined = known.join(added, key, "left").join(target, ["grp", "up"], "left")
+        steps = F.col("steps") + F.coalesce("steps2", F.lit(0))  # to the node above, or to the root
+        step = joined.select(*key, F.col("up2").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), steps.alias("steps"))
+        known, old = written(step, "up"), known
+        dropped(old)
+    sized = written(links.join(known.select(*key, F.col("steps").alias("depth"), "size"), key), "sized")
 
     offsets = _earlier_siblings(sized.filter("parent IS NOT NULL"))
     down = sized.join(offsets, key, "left").select(*key, F.col("parent").alias("up"), F.coalesce("offset", F.lit(0)).cast("bigint").alias("first"), (F.col("node") if paths else F.lit(None).cast("string")).alias("path"))
     down = written(down, "down")
-    while down.filter("up IS NOT NULL").limit(1).count():
+    while not down.filter("up IS NOT NULL").isEmpty():
         target = down.select("grp", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("first").alias("first2"), F.col("path").alias("path2"))
         step = down.join(target, ["grp", "up"], "left").select(*key, F.col("up2").alias("up"), (F.col("first") + F.coalesce("first2", F.lit(0))).alias("first"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat_ws("/", "path2", "path")).alias("path"))
         down, old = written(step, "down"), down
         dropped(old)
-    out = sized.join(down.select(*key, "first", "path"), key).select("grp", "node", "parent", "root", "depth", "size", "first", F.lit(False).alias("cyclic"), "path")
-    return out.unionByName(hung) if hung is not None else out
+    return sized.join(down.select(*key, "first", "path"), key).select("grp", "node", "parent", F.col("unit").alias("root"), "depth", "size", "first", F.lit(False).alias("cyclic"), "path")
 
 
 def _earlier_siblings(sized: DataFrame) -> DataFrame:
@@ -216,15 +221,27 @@ def hierarchy(df: DataFrame, group_col: str, node_col: str, parent_col: str, *,
     counts = links.groupBy("grp").agg(F.count("*").alias("n"))
     large = written(counts.filter(F.col("n") > small_rows).select("grp"), "large")
     has_large = not large.isEmpty()
-    small = links.join(large, "grp", "left_anti") if has_large else links
+    bounded, others = (links.join(large, "grp", "left_anti") if has_large else links).withColumn("unit", F.lit(None).cast("string")), []
+    if has_large:
+        big = links.join(large, "grp", "left_semi").groupBy("grp", "node", "part").agg(F.min("parent").alias("parent"))
+        parents = big.select("grp", F.col("node").alias("parent"), F.lit(True).alias("found"))
+        big = big.join(parents, ["grp", "parent"], "left").select("grp", "node", F.when(F.col("found"), F.col("parent")).alias("parent"), "part")
+        units = written(_units(written(big, "big")), "units")
+        same = ["grp", F.coalesce("unit", F.lit("")).alias("u")]  # no id is empty
+        larger = written(units.groupBy(*same).agg(F.count("*").alias("n")).filter(F.col("n") > small_rows).select("grp", "u"), "larger")
+        marked = units.withColumn("u", F.coalesce("unit", F.lit("")))
+        bounded = bounded.unionByName(marked.join(larger, ["grp", "u"], "left_anti").drop("u"))
+        if not larger.isEmpty():
+            rest = written(marked.join(larger, ["grp", "u"], "left_semi").drop("u"), "rest")
+            trees, hung = rest.filter("unit IS NOT NULL"), rest.filter("unit IS NULL")
+            others += [_doubled(trees, paths)] if not trees.isEmpty() else []
+            others += [_below_cycles(hung)] if not hung.isEmpty() else []
     bundles = max(1, links.count() // bundle_rows)
-    solved = small.withColumn("bundle", F.pmod(F.xxhash64("grp"), F.lit(bundles))).groupBy("bundle").applyInArrow(_bundles(paths), NODES)
-    if not has_large:
-        return solved
-    big = links.join(large, "grp", "left_semi").groupBy("grp", "node", "part").agg(F.min("parent").alias("parent"))
-    parents = big.select("grp", F.col("node").alias("parent"), F.lit(True).alias("found"))
-    big = big.join(parents, ["grp", "parent"], "left").select("grp", "node", F.when(F.col("found"), F.col("parent")).alias("parent"), "part")
-    return solved.unionByName(_doubled(written(big, "big"), paths))
+    bundled = bounded.withColumn("bundle", F.pmod(F.xxhash64("grp", "unit"), F.lit(bundles))).drop("unit")
+    out = bundled.groupBy("bundle").applyInArrow(_bundles(paths), NODES)
+    for more in others:
+        out = out.unionByName(more)
+    return out
 
 
 # Ancestors and descendants by ranges ---------------------------------------------------------------------------
