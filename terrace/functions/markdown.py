@@ -16,6 +16,7 @@ _TAG = re.compile(
     r"h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|nav|ol|p|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:\s|/?>|$)",
     re.I,
 )
+_DENSE = re.compile("[\u2e80-\u2fdf\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]")
 _CHINESE = (re.compile("[一二三四五六七八九十百]+、.+$"), 2), (re.compile("（[一二三四五六七八九十百]+）.+$"), 3)
 _INLINE = (
     (re.compile(r"!?\[([^\]]*)\]\([^)]*\)"), r"\1"),
@@ -142,7 +143,7 @@ class Piece(NamedTuple):
 
 def estimated_tokens(text: str) -> int:
     """One for each character of the East Asian scripts and their punctuation, one for every four others."""
-    dense = sum(1 for c in text if "　" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "가" <= c <= "힯" or "＀" <= c <= "￯" or "⺀" <= c <= "⿟" or "豈" <= c <= "﫿" or "\U00020000" <= c <= "\U0003ffff")
+    dense = 0 if text.isascii() else len(text) - len(_DENSE.sub("", text))
     return dense + (len(text) - dense + 3) // 4
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions.text import terms
+from terrace.plans.lineage import written
 
 HITS = "question_id string, key string, score double"
 
@@ -38,17 +39,16 @@ def question_terms(questions: DataFrame, id_col: str, text_col: str) -> DataFram
     return questions.select(F.col(id_col).cast("string").alias("question_id"), F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term"))
 
 
-def lexical_search(rows: DataFrame, key_col: str, texts: list[str], asked: DataFrame, *, k: int | None = 20, scoring: str = "bm25", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def lexical_search(rows: DataFrame, key_col: str, texts: list[str], asked: DataFrame, *, k: int | None = 20, scoring: str = "bm25", k1: float = 1.2, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
     """``question_id, key, score``, the best ``k`` rows (None: all) for each question of ``asked (question_id, term)``.
 
     ``scoring``: ``bm25`` or ``tfidf`` (root of the term frequency, squared inverse document frequency, by the root of
-    the length). Only terms that are asked for are posted; lengths and the number of rows are counted over all rows.
-    Rows without any term count as rows but can't be hit.
+    the length). ``index``: the rows' ``postings`` if they are kept; otherwise they are made and written once, so that
+    texts are cut into terms a single time. Rows without any term count as rows but can't be hit.
     """
-    each = rows.select(F.col(key_col).cast("string").alias("key"), terms(F.concat_ws(" ", *texts)).alias("t")).withColumn("length", F.size("t"))
-    every = each.agg(F.count("*").alias("rows"), F.avg("length").alias("usual"))
-    wanted = asked.select("term").distinct()
-    posted = each.select("key", "length", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("key", "term", "length").agg(F.count("*").alias("tf"))
+    posted = index if index is not None else written(postings(rows, key_col, *texts), "postings")
+    every = posted.agg(F.greatest(F.lit(rows.count()), F.lit(1)).alias("rows"), F.sum("tf").alias("terms")).select("rows", (F.col("terms") / F.col("rows")).alias("usual"))
+    posted = posted.join(asked.select("term").distinct(), "term", "left_semi")
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     joined = asked.join(df, "term").join(posted, "term").join(F.broadcast(every))  # one row
     if scoring == "bm25":

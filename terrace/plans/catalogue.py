@@ -304,7 +304,7 @@ def hot_ingest_process(spark: SparkSession, folder: str) -> DataFrame:
 
 def split_chapters_query(spark: SparkSession, folder: str) -> DataFrame:
     """Every document cut into chapters."""
-    return split_chapters(table(spark, folder, "documents"), "id", "title", "content").select("document_id", "path", "title", "content", "tokens")
+    return split_chapters(table(spark, folder, "documents", spread=True), "id", "title", "content").select("document_id", "path", "title", "content", "tokens")
 
 
 QUERIES["split_chapters"] = split_chapters_query
@@ -318,19 +318,19 @@ def splitter_plugin(spark: SparkSession, folder: str) -> DataFrame:
         parts = [p.strip() for p in (text or "").split("\n\n")]
         return [Piece([f"p{k}"], p, "") for k, p in enumerate(parts) if p]
 
-    return split_chapters(table(spark, folder, "documents"), "id", "title", "content", splitter=by_paragraph).select("document_id", "path", "content")
+    return split_chapters(table(spark, folder, "documents", spread=True), "id", "title", "content", splitter=by_paragraph).select("document_id", "path", "content")
 
 
 @query()
 def cold_load(spark: SparkSession, folder: str) -> DataFrame:
     """Chapters of cold documents, one for each path: what the index is loaded with."""
-    return last_by_path(split_chapters(table(spark, folder, "documents").filter("status = 'cold'"), "id", "title", "content"))
+    return last_by_path(split_chapters(table(spark, folder, "documents", spread=True).filter("status = 'cold'"), "id", "title", "content"))
 
 
 @query()
 def chapters_view(spark: SparkSession, folder: str) -> DataFrame:
     """Stored chapters of documents that have some and aren't cold, and chapters cut anew of all others."""
-    documents, chapters = table(spark, folder, "documents"), table(spark, folder, "chapters")
+    documents, chapters = table(spark, folder, "documents", spread=True), table(spark, folder, "chapters")
     warm = documents.filter("status <> 'cold'").select(F.col("id").alias("document_id"))
     stored = chapters.join(warm, "document_id", "left_semi")
     anew = documents.join(stored.select(F.col("document_id").alias("id")).distinct(), "id", "left_anti")

@@ -47,7 +47,7 @@ def heading_spans(spark: SparkSession, folder: str) -> DataFrame:
             columns = list(zip(*rows)) or [(), (), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["id", "first", "last", "level", "title"])
 
-    return table(spark, folder, "documents").select("id", "content").mapInArrow(scan, "id string, first bigint, last bigint, level bigint, title string")
+    return table(spark, folder, "documents", spread=True).select("id", "content").mapInArrow(scan, "id string, first bigint, last bigint, level bigint, title string")
 
 
 @query()
@@ -64,7 +64,7 @@ def strip_frontmatter(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def chapters_from_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Chapters with content as summary; a document without any text has a chapter ``body``."""
-    cut = split_chapters(table(spark, folder, "documents"), "id", "title", "content").filter("content <> ''")
+    cut = split_chapters(table(spark, folder, "documents", spread=True), "id", "title", "content").filter("content <> ''")
     none = table(spark, folder, "documents").select(F.col("id").alias("document_id")).join(cut.select("document_id"), "document_id", "left_anti")
     blank = none.select("document_id", F.concat("document_id", F.lit("/body")).alias("path"), F.lit("").alias("summary"))
     return cut.select("document_id", "path", F.col("content").alias("summary")).unionByName(blank)
@@ -73,7 +73,7 @@ def chapters_from_markdown(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def merge_bottom_up(spark: SparkSession, folder: str) -> DataFrame:
     """How many chapters each document is cut into at three budgets."""
-    parts = [split_chapters(table(spark, folder, "documents"), "id", "title", "content", budget=b).groupBy("document_id").agg(F.count("*").alias("chapters"), F.max("tokens").alias("largest")).withColumn("budget", F.lit(b)) for b in (128, 512, 2048)]
+    parts = [split_chapters(table(spark, folder, "documents", spread=True), "id", "title", "content", budget=b).groupBy("document_id").agg(F.count("*").alias("chapters"), F.max("tokens").alias("largest")).withColumn("budget", F.lit(b)) for b in (128, 512, 2048)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -191,7 +191,7 @@ def refresh_index(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def refresh_cold_index(spark: SparkSession, folder: str) -> DataFrame:
     """The chapters of cold documents that weren't changed since March 2025, and those cut anew of the changed ones."""
-    documents, gone = table(spark, folder, "documents"), table(spark, folder, "deleted_documents")
+    documents, gone = table(spark, folder, "documents", spread=True), table(spark, folder, "deleted_documents")
     since = F.to_timestamp(F.lit("2025-03-01"))
     rows = last_by_path(split_chapters(documents.filter("status = 'cold'"), "id", "title", "content")).select("document_id", "path", "title", "content")
     return tiering.refreshed(rows.withColumn("version", F.lit("old")), rows.withColumn("version", F.lit("new")), documents, gone, since)

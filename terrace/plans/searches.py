@@ -49,7 +49,7 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _chapters(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chapters").select("id", "document_id", "path", F.coalesce("title", F.lit("")).alias("title"), "summary", F.coalesce("content", F.lit("")).alias("content"))
+    return table(spark, folder, "chapters", spread=True).select("id", "document_id", "path", F.coalesce("title", F.lit("")).alias("title"), "summary", F.coalesce("content", F.lit("")).alias("content"))
 
 
 _INPUT = rf"""

@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One stored table as a DataFrame; filters and column choices reach its Parquet scan."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, *, spread: bool = False) -> DataFrame:
+    """One stored table as a DataFrame; filters and column choices reach its Parquet scan.
+
+    ``spread``: for work that is heavier than reading. A table of one file, which a single task may have to read, is
+    then dealt out to all cores; a table of many files is left as it is read.
+    """
+    path = f"{folder}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if spread:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+            return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
