@@ -21,17 +21,17 @@ SHELVES = ["All tags", "Untriaged", "Empty shelf"]
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents of cosine 0.80 at least, one among the ten nearest of the other."""
-    return similar_pairs(table(spark, folder, "documents"), "doc_id", "embedding", 0.8, 10)
+    return similar_pairs(table(spark, folder, "documents", spread=True), "doc_id", "embedding", 0.8, 10)
 
 
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar documents of every document that has a usable embedding."""
-    return similar_vectors(table(spark, folder, "documents"), "doc_id", "embedding", k=10).withColumn("cosine", F.round("cosine", 6))
+    return similar_vectors(table(spark, folder, "documents", spread=True), "doc_id", "embedding", k=10).withColumn("cosine", F.round("cosine", 6))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the subjects that they treat in a whole section; pages of keywords have none."""
-    documents = table(spark, folder, "documents")
+    documents = table(spark, folder, "documents", spread=True)
     labels, topics = table(spark, folder, "subject_labels"), table(spark, folder, "topics")
     return document_subjects(documents, labels, topics, SHELVES, stuffed=stuffed_pages(documents, "doc_id", "text"))
 
@@ -50,12 +50,12 @@ def _title_and_content():
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that share half at least of their runs of five words."""
-    return NearDuplicates(table(spark, folder, "documents"), "doc_id", _title_and_content(), similarity=0.5).all_pairs()
+    return NearDuplicates(table(spark, folder, "documents", spread=True), "doc_id", _title_and_content(), similarity=0.5).all_pairs()
 
 
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Each document with its class of copies and its group of near duplicates of similarity 0.8 at least."""
-    return NearDuplicates(table(spark, folder, "documents"), "doc_id", _title_and_content()).groups()
+    return NearDuplicates(table(spark, folder, "documents", spread=True), "doc_id", _title_and_content()).groups()
 
 
 def _baskets(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,7 +87,7 @@ s AS (SELECT p.*, a.n AS n_a, c.n AS n_b, (SELECT count(*) FROM k) AS baskets FR
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text, or piece of it, with its container of 2,048 tokens."""
-    return filled_containers(table(spark, folder, "documents"), "doc_id", "text")
+    return filled_containers(table(spark, folder, "documents", spread=True), "doc_id", "text")
 
 
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +120,7 @@ SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (run)
 
 def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Where passages of the evaluation items stand in documents, as spans of words to remove."""
-    return leaked_spans(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage")
+    return leaked_spans(table(spark, folder, "documents", spread=True), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "passage")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,12 +130,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents made of keywords, links or product tags instead of sentences."""
-    return stuffed_pages(table(spark, folder, "documents"), "doc_id", "text")
+    return stuffed_pages(table(spark, folder, "documents", spread=True), "doc_id", "text")
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """How many words each document has, and how many of them stand outside prose."""
-    return page_shares(table(spark, folder, "documents"), "doc_id", "text")
+    return page_shares(table(spark, folder, "documents", spread=True), "doc_id", "text")
 
 
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_composition": p2_composition, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
