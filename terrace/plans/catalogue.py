@@ -35,8 +35,13 @@ def query(sql: str | None = None):
     return add
 
 
+def moment(utc: str):
+    """A moment given in universal time, whatever zone the session has."""
+    return F.lit(f"{utc}+00:00").cast("timestamp")
+
+
 def as_of():
-    return F.to_timestamp(F.lit(AS_OF))
+    return moment(AS_OF)
 
 
 def micros(*names: str):
@@ -109,7 +114,7 @@ def scan_topic_by_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT document_id, epoch_us(created_at) AS created_at FROM deleted_documents WHERE created_at > TIMESTAMPTZ '2024-06-01 00:00:00+00'")
 def scan_tombstones_since(spark: SparkSession, folder: str) -> DataFrame:
     gone = table(spark, folder, "deleted_documents")
-    return gone.filter(F.col("created_at") > F.to_timestamp(F.lit("2024-06-01"))).orderBy("created_at", "id").select("document_id", *micros("created_at"))
+    return gone.filter(F.col("created_at") > moment("2024-06-01 00:00:00")).orderBy("created_at", "id").select("document_id", *micros("created_at"))
 
 
 @query("SELECT CASE WHEN lower(trim(format)) IN ('markdown', 'md') THEN 'markdown' ELSE 'other' END AS format, count(*) AS documents, sum(octet_length(encode(coalesce(content, ''))))::BIGINT AS bytes, count(*) FILTER (WHERE octet_length(encode(coalesce(content, ''))) > 10000) AS long FROM documents GROUP BY 1")
@@ -172,7 +177,7 @@ def browse_filter(spark: SparkSession, folder: str) -> DataFrame:
 def incremental_filter(spark: SparkSession, folder: str) -> DataFrame:
     from terrace.operators.tiering import changed_since
 
-    return changed_since(table(spark, folder, "documents"), F.to_timestamp(F.lit("2025-03-01"))).select("id", "status")
+    return changed_since(table(spark, folder, "documents"), moment("2025-03-01 00:00:00")).select("id", "status")
 
 
 @query("SELECT c.id, c.path, d.status, d.query_count FROM chapters c LEFT JOIN documents d ON d.id = c.document_id")

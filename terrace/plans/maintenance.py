@@ -12,7 +12,7 @@ from terrace.operators import catalog as c
 from terrace.operators import tiering
 from terrace.operators import traces as t
 from terrace.operators.chunking import last_by_path, split_chapters
-from terrace.plans.catalogue import AS_OF, as_of
+from terrace.plans.catalogue import AS_OF, as_of, moment
 from terrace.sources.tables import table
 
 QUERIES: dict = {}
@@ -183,7 +183,7 @@ def refresh_index(spark: SparkSession, folder: str) -> DataFrame:
     """Hot documents changed since March 2025 get their chapters anew."""
     chapters, documents, gone = (table(spark, folder, n) for n in ("chapters", "documents", "deleted_documents"))
     rows = chapters.select("document_id", "path")
-    since = F.to_timestamp(F.lit("2025-03-01"))
+    since = moment("2025-03-01 00:00:00")
     gone = gone.withColumn("created_at", since)
     return tiering.refreshed(rows.withColumn("version", F.lit("old")), rows.withColumn("version", F.lit("new")), documents, gone, since, "hot")
 
@@ -192,7 +192,7 @@ def refresh_index(spark: SparkSession, folder: str) -> DataFrame:
 def refresh_cold_index(spark: SparkSession, folder: str) -> DataFrame:
     """The chapters of cold documents that weren't changed since March 2025, and those cut anew of the changed ones."""
     documents, gone = table(spark, folder, "documents", spread=True), table(spark, folder, "deleted_documents")
-    since = F.to_timestamp(F.lit("2025-03-01"))
+    since = moment("2025-03-01 00:00:00")
     rows = last_by_path(split_chapters(documents.filter("status = 'cold'"), "id", "title", "content")).select("document_id", "path", "title", "content")
     return tiering.refreshed(rows.withColumn("version", F.lit("old")), rows.withColumn("version", F.lit("new")), documents, gone, since)
 
