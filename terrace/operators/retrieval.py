@@ -101,11 +101,12 @@ def _best(sent, k: int, dim: int, clamp: bool, skip_self: bool):
         asked, q = sent.value
         best_s, best_k = np.full((len(asked), k), -np.inf), np.full((len(asked), k), "", "U1")
         place = {key: n for n, key in enumerate(asked)}
+        step = max(64, min(2048, 2_000_000 // max(1, len(asked))))  # bounds the table of scores
         for b in batches:
             keys, x = units(b.column(0).to_pylist(), b.column(1), dim)
-            for at in range(0, len(keys), 2048):
-                some = keys[at : at + 2048]
-                score = np.round(q @ x[at : at + 2048].T, 6)
+            for at in range(0, len(keys), step):
+                some = keys[at : at + step]
+                score = np.round(q @ x[at : at + step].T, 6)
                 if clamp:
                     score = np.maximum(score, 0)
                 if skip_self:
