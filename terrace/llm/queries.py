@@ -12,6 +12,7 @@ from terrace.llm.near_duplicates import NearDuplicates
 from terrace.llm.similar_vectors import similar_pairs, similar_vectors
 from terrace.llm.stuffed_pages import page_shares, stuffed_pages
 from terrace.llm.subjects import document_subjects
+from terrace.operators.retrieval import vector_search
 from terrace.plans.lineage import written
 from terrace.sources.tables import table
 
@@ -29,6 +30,17 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return similar_vectors(table(spark, folder, "documents", spread=True), "doc_id", "embedding", k=10).withColumn("cosine", F.round("cosine", 6))
 
 
+def p1_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """``pairs, found, recall``: of the ten nearest, by brute force, of every document whose id is divisible by 50, how many the forest finds."""
+    documents = table(spark, folder, "documents", spread=True).select("doc_id", "embedding").filter(F.exists("embedding", lambda x: x != 0))
+    asked = documents.filter("doc_id % 50 = 0")
+    exact = vector_search(documents, "doc_id", "embedding", asked, "doc_id", "embedding", k=10, dim=384, skip_self=True)
+    exact = exact.select(F.col("question_id").cast("bigint").alias("id"), F.col("key").cast("bigint").alias("neighbour"))
+    found = similar_vectors(documents, "doc_id", "embedding", k=10).filter("id % 50 = 0").select("id", "neighbour", F.lit(1).alias("hit"))
+    counted = exact.join(found, ["id", "neighbour"], "left").agg(F.count("*").alias("pairs"), F.count("hit").alias("found"))
+    return counted.withColumn("recall", F.round(F.col("found") / F.col("pairs"), 6))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the subjects that they treat in a whole section; pages of keywords have none."""
     documents = table(spark, folder, "documents", spread=True)
@@ -138,7 +150,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return page_shares(table(spark, folder, "documents", spread=True), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_composition": p2_composition, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p2_found": p2_found, "p2_composition": p2_composition, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLE: dict[str, str] = {
     "p1_found": _NEAREST + "SELECT DISTINCT least(id, neighbour) AS doc_a, greatest(id, neighbour) AS doc_b FROM k WHERE cosine >= 0.8",

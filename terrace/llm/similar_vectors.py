@@ -33,7 +33,7 @@ def usable_units(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray
     x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
     norm = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
     good = np.isfinite(norm) & (norm > 0)
-    x = x[good] / norm[good, None].astype(np.float32)
+    x = x[good] / norm[good, None]  # in double precision, so that very large and very small vectors keep their direction
     return ids.to_numpy(zero_copy_only=False)[good].astype(np.int64), np.ascontiguousarray(x, np.float32)
 
 

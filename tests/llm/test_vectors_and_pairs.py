@@ -78,6 +78,12 @@ def test_unusable_vectors_copies_and_ties(spark):
     assert all(a < b for a, b in pairs) and (0, 1) in pairs and (0, 20) in pairs and not any(21 in p for p in pairs)
 
 
+def test_only_the_direction_counts(spark):
+    rows = [(1, [3e38, 3e38, 0.0]), (2, [1e-30, 1e-30, 0.0]), (3, [1.0, 1.0, 0.0]), (4, [0.0, 0.0, -2.0])]
+    got = {(r.id, r.neighbour): round(r.cosine, 6) for r in similar_vectors(vectors(spark, rows), "doc", "v", k=2, dim=3, floor=0.5).collect()}
+    assert got == {(a, b): 1.0 for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [1.0, 2.0, 3.0])]])
 def test_hardly_any_vectors(spark, rows):
     assert similar_vectors(vectors(spark, rows), "doc", "v", k=3, dim=3).collect() == []
