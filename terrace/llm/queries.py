@@ -52,7 +52,7 @@ def p2_composition(spark: SparkSession, folder: str) -> DataFrame:
     """How many documents, and what share of all documents with a subject, treat each subject."""
     found = written(p2_found(spark, folder), "subjects")
     every = found.agg(F.countDistinct("doc_id").alias("n"))
-    counted = found.groupBy("topic_id").agg(F.count("*").alias("documents")).join(every).withColumn("share", F.round(F.col("documents") / F.col("n"), 6)).drop("n")
+    counted = found.groupBy("topic_id").agg(F.count("*").alias("documents")).join(F.broadcast(every)).withColumn("share", F.round(F.col("documents") / F.col("n"), 6)).drop("n")  # one row
     return table(spark, folder, "topics").select(F.col("id").alias("topic_id"), "name").join(counted, "topic_id")
 
 
