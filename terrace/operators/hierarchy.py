@@ -283,10 +283,37 @@ def counted_below(nodes: DataFrame, marked: Column) -> DataFrame:
     return nodes.select("grp", "node").join(sums, ["grp", "node"], "left").select("grp", "node", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def descendant_pairs(nodes: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """``grp, ancestor, node``: all proper descendants of the nodes in ``ancestors (grp, node)``, found by ranges alone."""
+def descendant_pairs(nodes: DataFrame, ancestors: DataFrame | None = None, *, small_pairs: int = 200_000, bundle_pairs: int = 250_000) -> DataFrame:
+    """``grp, ancestor, node``: all proper descendants of the nodes in ``ancestors (grp, node)``, or of every node, found by ranges alone.
+
+    Trees of at most ``small_pairs`` pairs are worked off in tasks, many together; larger ones by joins of the dyadic
+    blocks of preorder numbers that make up a range.
+    """
+    key, nodes = ["grp", "root"], nodes.filter("depth >= 0")
+    trees = written(nodes.groupBy(*key).agg(F.sum("depth").alias("pairs")).filter("pairs > 0"), "trees")
+    large = trees.filter(F.col("pairs") > small_pairs).select(*key)
+    nodes = nodes.withColumn("asked", F.lit(True)) if ancestors is None else nodes.join(ancestors.select("grp", "node").distinct().withColumn("asked", F.lit(True)), ["grp", "node"], "left")
+    nodes = nodes.select(*key, "node", "size", "first", F.coalesce("asked", F.lit(False)).alias("asked"))
+    has_large = not large.isEmpty()
+    bundles = max(1, (trees.agg(F.sum("pairs")).first()[0] or 0) // bundle_pairs)
+    bundled = (nodes.join(large, key, "left_anti") if has_large else nodes).withColumn("bundle", F.pmod(F.xxhash64(*key), F.lit(bundles)))
+    out = bundled.groupBy("bundle").applyInArrow(_expanded, "grp string, ancestor string, node string")
+    return out.unionByName(_pairs_by_blocks(nodes.join(large, key, "left_semi"))) if has_large else out
+
+
+def _expanded(table: pa.Table) -> pa.Table:
+    """Pairs of whole trees: in the order of the numbers, a node's descendants are the rows that follow it."""
+    table = table.sort_by([("grp", "ascending"), ("root", "ascending"), ("first", "ascending")])
+    count = np.where(table["asked"].to_numpy(), table["size"].to_numpy() - 1, 0)
+    above = np.repeat(np.arange(len(count)), count)
+    below = above + 1 + np.arange(len(above)) - np.repeat(np.cumsum(count) - count, count)
+    node = table["node"]
+    return pa.table([table["grp"].take(above), node.take(above), node.take(below)], names=["grp", "ancestor", "node"])
+
+
+def _pairs_by_blocks(nodes: DataFrame) -> DataFrame:
     levels = _levels(nodes)
-    ranges = nodes.join(ancestors.select("grp", "node"), ["grp", "node"], "left_semi").filter("depth >= 0 AND size > 1")
+    ranges = nodes.filter("asked AND size > 1")
     ranges = ranges.select("grp", "root", F.col("node").alias("ancestor"), F.explode(covering_blocks(F.col("first") + 1, F.col("first") + F.col("size"), levels)).alias("b")).select("grp", "root", "ancestor", "b.level", "b.block")
-    points = nodes.filter("depth > 0").select("grp", "root", "node", F.explode(holding_blocks(F.col("first"), levels)).alias("b")).select("grp", "root", "node", "b.level", "b.block")
+    points = nodes.filter("first > 0").select("grp", "root", "node", F.explode(holding_blocks(F.col("first"), levels)).alias("b")).select("grp", "root", "node", "b.level", "b.block")
     return ranges.join(points, ["grp", "root", "level", "block"]).select("grp", "ancestor", "node")

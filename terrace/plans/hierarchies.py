@@ -35,9 +35,9 @@ def p3_subtree_errors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """All descendants of the roots' children, a row each."""
+    """All descendants of every span, a row each. The SQL has those of the roots' children only."""
     nodes = written(_spans(spark, folder), "spans")
-    pairs = descendant_pairs(nodes, nodes.filter("depth = 1"))
+    pairs = descendant_pairs(nodes)
     return pairs.select(F.col("grp").alias("trace_id"), F.col("ancestor").alias("span_id"), F.col("node").alias("descendant_span_id"))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.operators.hierarchy import counted_below, descendant_pairs, hierarchy
+from terrace.plans.hierarchies import p3_descendants
 from terrace.plans.lineage import written
 
 SCHEMA = "trace string, span string, parent string, grp string, node string, root int"
@@ -86,5 +87,20 @@ def test_deep_chain_and_wide_parent_in_a_large_group(spark):
     assert got["c149"].depth == 149 and got["w000"].depth == 150 and got["c000"].size == 300 and {r.root for r in got.values()} == {"c000"}
 
 
+def test_the_query_gives_the_descendants_of_every_span(spark, tmp_path):
+    rows = made_rows(3) + [("deep", f"c{k}", f"c{k - 1}" if k else None) for k in range(9)]
+    frame(spark, rows).toDF("trace_id", "span_id", "parent_span_id", "a", "b", "c").write.parquet(f"{tmp_path}/otel_spans.parquet")
+    got = [tuple(r) for r in p3_descendants(spark, str(tmp_path)).collect()]
+    want = {(g, part, n) for (g, n), (_, _, path) in brute(rows).items() if path for part in path.split("/")[:-1]}
+    assert len(got) == len(want) and set(got) == want
+    assert sum(t == "deep" for t, _, _ in got) == 36
+    nodes = written(hierarchy(frame(spark, rows), "trace", "span", "parent"), "test")
+    for small_pairs in (0, 20):  # all by joins; some by joins, some in tasks
+        assert sorted(map(tuple, descendant_pairs(nodes, small_pairs=small_pairs).collect())) == sorted(want)
+    some = descendant_pairs(nodes, nodes.filter("depth = 1"), small_pairs=20)
+    depth = {key: d for key, (_, d, _) in brute(rows).items()}
+    assert sorted(map(tuple, some.collect())) == sorted(x for x in want if depth[x[0], x[1]] == 1)
+
+
 def test_empty(spark):
     assert hierarchy(frame(spark, []), "trace", "span", "parent").collect() == []
