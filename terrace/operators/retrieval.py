@@ -158,6 +158,44 @@ def overlap_scores(asked: DataFrame, candidates: DataFrame, key_col: str, text:
     return hit.select("question_id", "key", F.round(F.col("shared") / F.col("n"), 6).alias("score"))
 
 
+def held_scores(asked: DataFrame, candidates: DataFrame, key_col: str, text: Column, *, least: float = 0.5, block: int = 4096) -> DataFrame:
+    """``question_id, key, score`` of at least ``least``: which share of a question's distinct terms a candidate holds, for texts longer than a question.
+
+    ``asked``: ``question_id, term``, each once. The questions reach the tasks in blocks of about ``block``; a
+    candidate's terms are counted in its own row, so that nothing is exchanged. Rows without a shared term never count.
+    """
+    spark = candidates.sparkSession
+    rows = candidates.select(F.col(key_col).cast("string").alias("key"), F.array_distinct(terms(text)).alias("t"))
+    blocks, found = max(1, -(-asked.select("question_id").distinct().count() // block)), None
+    for k in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == k) if blocks > 1 else asked
+        by_term, ids = {}, {}
+        for question, term in zip(*(c.to_pylist() for c in part.select("question_id", "term").toArrow().columns)):
+            by_term.setdefault(term, []).append(ids.setdefault(question, len(ids)))
+        by_term = {term: np.array(at) for term, at in by_term.items()}
+        size = np.bincount(np.concatenate([*by_term.values(), np.zeros(0, np.int64)]).astype(np.int64), minlength=len(ids))
+        hits = rows.mapInArrow(_held(spark.sparkContext.broadcast((list(ids), by_term, size)), least), HITS)
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _held(sent, least: float):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, by_term, size = sent.value
+        for b in batches:
+            out = [[], [], []]
+            for key, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if at := [by_term[w] for w in words if w in by_term]:
+                    share = np.round(np.bincount(np.concatenate(at), minlength=len(ids)) / size, 6)
+                    good = np.flatnonzero((share >= least) & (share > 0))
+                    out[0] += [ids[q] for q in good]
+                    out[1] += [key] * len(good)
+                    out[2] += share[good].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.float64()))], ["question_id", "key", "score"])
+
+    return score
+
+
 def relevant(scores: DataFrame, least: float = 0.5) -> DataFrame:
     """Scores of at least ``least``."""
     return scores.filter(F.col("score") >= least)

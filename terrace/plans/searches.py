@@ -1,6 +1,7 @@
 """Queries of search, fusion, funnel and merge over chapters and documents, with their SQL.
 
-The evaluation passages' first words serve as questions; a share of common terms stands for a model's judgement.
+The evaluation passages serve as questions; a share of common terms stands for a model's judgement. The SQL cuts the
+passages of searches and the contents that the funnel judges to 40 characters; the queries cut neither.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ def sql_terms(x: str) -> str:
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
-    """``question_id, text``: the first forty characters of each passage."""
-    return table(spark, folder, "eval_items").select(F.col("item_id").cast("string").alias("question_id"), F.left("passage", F.lit(40)).alias("text"))
+    """``question_id, text``: the passages."""
+    return table(spark, folder, "eval_items").select(F.col("item_id").cast("string").alias("question_id"), F.col("passage").alias("text"))
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,10 +194,11 @@ def _scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Dat
     asked = written(_whole_asked(spark, folder), "asked")
     tags = table(spark, folder, "documents").select(F.explode(F.array_distinct("tags")).alias("name")).distinct().filter("trim(name) <> ''")
     live = table(spark, folder, "documents").filter("status IN ('hot', 'warming')")
+    body = F.coalesce(F.when(F.trim("summary") != "", F.col("summary")), F.col("content"))
     return (
         r.overlap_scores(asked, tags, "name", F.col("name")),
         r.overlap_scores(asked, live, "id", F.col("title")),
-        r.overlap_scores(asked, _chapters(spark, folder), "id", F.left("content", F.lit(40))),
+        r.held_scores(asked, _chapters(spark, folder), "id", body),
     )
 
 
