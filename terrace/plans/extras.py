@@ -96,11 +96,11 @@ def validate_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) AS k FROM chapters) SELECT document_id, string_agg('[' || k || '] ' || coalesce(title, '') || chr(10) || left(coalesce(content, ''), 80), chr(10) || chr(10) ORDER BY k) AS block FROM r WHERE k <= 12 GROUP BY document_id")
 def build_reference_block(spark: SparkSession, folder: str) -> DataFrame:
-    """The first twelve chapters of each document as a numbered list of excerpts."""
+    """The first twelve chapters of each document as a numbered list of excerpts of at most 3,500 bytes. The SQL cuts them at 80 characters."""
     from pyspark.sql import Window
 
     ranked = table(spark, folder, "chapters").withColumn("k", F.row_number().over(Window.partitionBy("document_id").orderBy("created_at", "id"))).filter("k <= 12")
-    line = F.concat(F.lit("["), F.col("k").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), F.left(F.coalesce("content", F.lit("")), F.lit(80)))
+    line = F.concat(F.lit("["), F.col("k").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), t.utf8_prefix(F.coalesce("content", F.lit("")), 3500, "\n…(truncated)"))
     lists = ranked.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("k", line.alias("line")))).alias("l"))
     return lists.select("document_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n\n").alias("block"))
 
