@@ -149,6 +149,10 @@ def token_bucket(spark: SparkSession, folder: str) -> DataFrame:
     return rate_limited(table(spark, folder, "events"), "event_id", "user_id", "ts", rate=1 / 7200, idle=86_400)
 
 
+def _replayed(spark: SparkSession, folder: str, name: str, time_col: str, **options) -> DataFrame:
+    return jobs.replay(spark, folder, name, time_col, f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}", **options)
+
+
 def _streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     jobs.run_to_table(df, f"{path}/rows", f"{path}/progress")
@@ -157,8 +161,8 @@ def _streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 @query()
 def stream_token_bucket(spark: SparkSession, folder: str) -> DataFrame:
-    """The same as calls come in, with each user's bucket as state."""
-    return _streamed(spark, jobs.limited_calls(jobs.stream(spark, folder, "events"), "event_id", "user_id", "ts", rate=1 / 7200, idle=86_400))
+    """The same as calls come in, in the order of time, with each user's bucket as state."""
+    return _streamed(spark, jobs.limited_calls(_replayed(spark, folder, "events", "ts"), "event_id", "user_id", "ts", rate=1 / 7200, idle=86_400))
 
 
 @query("SELECT trace_id, span_id, count(*) AS n FROM (SELECT DISTINCT trace_id, span_id FROM otel_spans) GROUP BY ALL")
@@ -169,8 +173,8 @@ def stream_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def stream_usage(spark: SparkSession, folder: str) -> DataFrame:
-    """Events of each type in each hour that is over."""
-    return _streamed(spark, jobs.calls_in_windows(jobs.stream(spark, folder, "events"), "ts", "event_type"))
+    """Events of each type in each hour, the last ones included."""
+    return _streamed(spark, jobs.calls_in_windows(_replayed(spark, folder, "events", "ts", close="2 hours"), "ts", "event_type"))
 
 
 @query()

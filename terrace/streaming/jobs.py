@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from terrace.operators.chunking import last_by_path, split_chapters
 from terrace.operators.rates import admit
+from terrace.sources.tables import table
 
 
 def stream(spark: SparkSession, folder: str, name: str, files: int = 8) -> DataFrame:
@@ -20,6 +22,28 @@ def stream(spark: SparkSession, folder: str, name: str, files: int = 8) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}.parque[t]")  # a pattern, so that one file will do
 
 
+def replay(spark: SparkSession, folder: str, name: str, time_col: str, copy: str, *, close: str | None = None, files: int = 8) -> DataFrame:
+    """A stored table as a stream in the order of ``time_col``, however many files hold it, so that no row is late.
+
+    Rows with a time are written once more, below ``copy``, cut into ranges of time. A stream takes files in the order
+    of their times of change, which are set to follow the ranges; the file system has to keep such times. ``close``: a
+    last row, empty but for a time that much after the newest, moves the watermark on, so that all windows end.
+    """
+    rows = table(spark, folder, name).filter(F.col(time_col).isNotNull())
+    at, kind = F.col(time_col).cast("timestamp"), rows.schema[time_col].dataType
+    rows.repartitionByRange(at).write.parquet(f"{copy}/0-rows")
+    if close:
+        last = rows.agg((F.max(at) + F.expr(f"INTERVAL {close}")).cast(kind).alias(time_col)).filter(F.col(time_col).isNotNull())
+        last.select(*[F.col(time_col) if f.name == time_col else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]).write.parquet(f"{copy}/1-end")
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(f"{copy}/*/part-*")
+    fs = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    now = int(time.time()) * 1000
+    for k, path in enumerate(sorted(x.getPath().toString() for x in fs.globStatus(found))):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(path), now + 1000 * k, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{copy}/*")
+
+
 def arriving_spans(spans: DataFrame, late: str = "3 days") -> DataFrame:
     """Each span once: its first delivery; deliveries that come more than ``late`` after the newest are left out."""
     return spans.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
@@ -43,10 +67,9 @@ def limited_calls(calls: DataFrame, id_col: str, key_col: str, time_col: str, *,
             state.remove()
             return
         level, last = state.get if state.exists else (capacity, float("-inf"))
-        for pdf in parts:
-            pdf = pdf.sort_values(["at", "id"])
-            admitted, level, last = admit(pdf["at"].to_numpy(), level, last, capacity, rate, idle)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "key": key[0], "admitted": admitted})
+        pdf = pd.concat(parts).sort_values(["at", "id"])  # a key's calls of one batch
+        admitted, level, last = admit(pdf["at"].to_numpy(), level, last, capacity, rate, idle)
+        yield pd.DataFrame({"id": pdf["id"].to_numpy(), "key": key[0], "admitted": admitted})
         state.update((level, last))
         state.setTimeoutTimestamp(int((last + idle) * 1000))
 
