@@ -79,11 +79,11 @@ def merge_bottom_up(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT document_id, path FROM (SELECT document_id, CASE WHEN trim(coalesce(title, '')) = '' THEN document_id || '/chapter/' || k ELSE document_id || '/' || title END AS path FROM (SELECT document_id, translate(trim(title), '/\\', '--') AS title, row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) AS k FROM chapters WHERE coalesce(octet_length(encode(title)), 0) <= 100))")
 def materialize_path(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of chapters from their titles, or from their place where they have none."""
+    """Paths of chapters from their titles, or from their place where they have none. The SQL leaves titles of over 100 bytes out."""
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("document_id").orderBy("created_at", "id"))
-    rows = table(spark, folder, "chapters").filter(F.coalesce(F.octet_length("title"), F.lit(0)) <= 100).select("document_id", t.sanitize_path(F.coalesce("title", F.lit(""))).alias("title"), place.alias("k"))
+    rows = table(spark, folder, "chapters").select("document_id", t.sanitize_path(F.coalesce("title", F.lit(""))).alias("title"), place.alias("k"))
     return rows.select("document_id", F.when(F.col("title") == "", F.concat_ws("/", "document_id", F.lit("chapter"), "k")).otherwise(F.concat_ws("/", "document_id", "title")).alias("path"))
 
 

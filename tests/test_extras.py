@@ -8,3 +8,11 @@ def test_excerpts_are_cut_at_3500_bytes_on_whole_characters(spark, tmp_path):
     more = "\n…(truncated)"
     want = ["a" * 3500, "b" * 3500 + more, "字" * 1166 + more, ""]
     assert extras.build_reference_block(spark, str(tmp_path)).first().block == "\n\n".join(f"[{k + 1}] t{k}\n{x}" for k, x in enumerate(want))
+
+
+def test_every_chapter_has_a_path_long_titles_too(spark, tmp_path):
+    titles = ["short", "字" * 40, None, "x" * 101]
+    rows = [(f"c{k}", "d", x, k) for k, x in enumerate(titles)]
+    spark.createDataFrame(rows, "id string, document_id string, title string, created_at int").write.parquet(f"{tmp_path}/chapters.parquet")
+    got = {x.path for x in extras.materialize_path(spark, str(tmp_path)).collect()}
+    assert got == {"d/short", "d/" + "字" * 33, "d/chapter/3", "d/" + "x" * 100}
