@@ -1,9 +1,10 @@
 """Keyword-stuffed and link-list pages.
 
-Each line of a page is described by a few small marks (sentence ends, links, separators, function words, repeated
-pairs of words, length, table or code form). A hidden Markov model with the states prose, link list, tag list and
-menu labels the lines of a page; it is fitted to all pages by expectation maximisation, from emissions stated below
-that also hold the states to their meaning. A page is flagged when its non-prose lines hold more than half its words.
+A page is read as its lines, and a line of several sentences as its sentences. Each is described by a few small marks
+(sentence end, links, separators, function words, repeated pairs of words and words that fill the page, length, form of
+a table or code). A hidden Markov model labels them as prose, link list, tag list or menu, or as what is neither prose nor a
+list: headings and notes, and rows of tables and lines of code. It is fitted to all pages by expectation maximisation
+from the chances stated below. A page is flagged when its links, tags and menus hold more than half of its words.
 """
 
 from __future__ import annotations
@@ -21,20 +22,30 @@ from pyspark.sql import functions as F
 from terrace.llm.words import words
 from terrace.plans.lineage import written
 
-STATES = ("prose", "link list", "tag list", "menu")
+STATES = ("prose", "link list", "tag list", "menu", "heading", "table or code")
+LISTING = [1, 2, 3]
 #: Marks of a line and how many values each takes.
-MARKS = {"sentence ends": 4, "links": 3, "separators": 3, "function words": 3, "repeats": 3, "length": 3, "table or code": 2}
+MARKS = {"sentence end": 3, "links": 3, "separators": 3, "function words": 4, "repeats": 4, "length": 4, "table or code": 3}
 #: Chance of each value of each mark in a line of each state, before fitting.
 START = {
-    "sentence ends": [(0.14, 0.01, 0.05, 0.80), (0.55, 0.40, 0.03, 0.02), (0.45, 0.51, 0.03, 0.01), (0.80, 0.16, 0.03, 0.01)],
-    "links": [(0.97, 0.02, 0.01), (0.04, 0.16, 0.80), (0.94, 0.04, 0.02), (0.80, 0.12, 0.08)],
-    "separators": [(0.80, 0.17, 0.03), (0.40, 0.30, 0.30), (0.30, 0.20, 0.50), (0.30, 0.20, 0.50)],
-    "function words": [(0.12, 0.28, 0.60), (0.90, 0.08, 0.02), (0.92, 0.07, 0.01), (0.90, 0.08, 0.02)],
-    "repeats": [(0.80, 0.15, 0.05), (0.50, 0.30, 0.20), (0.25, 0.25, 0.50), (0.60, 0.25, 0.15)],
-    "length": [(0.10, 0.30, 0.60), (0.30, 0.50, 0.20), (0.20, 0.50, 0.30), (0.70, 0.25, 0.05)],
-    "table or code": [(0.88, 0.12), (0.995, 0.005), (0.995, 0.005), (0.995, 0.005)],
+    "sentence end": [(0.05, 0.02, 0.93), (0.60, 0.37, 0.03), (0.45, 0.30, 0.25), (0.85, 0.12, 0.03), (0.93, 0.02, 0.05), (0.95, 0.03, 0.02)],
+    "links": [(0.97, 0.02, 0.01), (0.04, 0.16, 0.80), (0.94, 0.04, 0.02), (0.85, 0.10, 0.05), (0.98, 0.01, 0.01), (0.97, 0.02, 0.01)],
+    "separators": [(0.80, 0.17, 0.03), (0.40, 0.30, 0.30), (0.30, 0.20, 0.50), (0.30, 0.20, 0.50), (0.94, 0.03, 0.03), (0.40, 0.20, 0.40)],
+    "function words": [(0.08, 0.32, 0.35, 0.25), (0.90, 0.08, 0.01, 0.01), (0.85, 0.13, 0.015, 0.005), (0.90, 0.08, 0.01, 0.01), (0.75, 0.10, 0.10, 0.05), (0.95, 0.03, 0.01, 0.01)],
+    "repeats": [(0.65, 0.30, 0.04, 0.01), (0.50, 0.25, 0.15, 0.10), (0.12, 0.15, 0.30, 0.43), (0.60, 0.20, 0.10, 0.10), (0.75, 0.15, 0.07, 0.03), (0.80, 0.12, 0.05, 0.03)],
+    "length": [(0.02, 0.20, 0.70, 0.08), (0.25, 0.40, 0.20, 0.15), (0.15, 0.40, 0.25, 0.20), (0.60, 0.35, 0.04, 0.01), (0.45, 0.50, 0.04, 0.01), (0.40, 0.55, 0.04, 0.01)],
+    "table or code": [(0.990, 0.005, 0.005), (0.94, 0.05, 0.01), (0.89, 0.10, 0.01), (0.79, 0.20, 0.01), (0.990, 0.005, 0.005), (0.05, 0.15, 0.80)],
 }
-_STAY = 0.85
+#: Chance of each state in a page's first line, and in the line after each state, before fitting.
+FIRST = (0.35, 0.05, 0.05, 0.03, 0.50, 0.02)
+AFTER = (
+    (0.88, 0.01, 0.01, 0.01, 0.07, 0.02),
+    (0.04, 0.88, 0.02, 0.02, 0.03, 0.01),
+    (0.04, 0.02, 0.88, 0.02, 0.03, 0.01),
+    (0.05, 0.03, 0.02, 0.86, 0.03, 0.01),
+    (0.80, 0.05, 0.05, 0.02, 0.03, 0.05),
+    (0.10, 0.01, 0.01, 0.01, 0.04, 0.83),
+)
 #: Common English function words and Chinese function characters.
 FUNCTION_WORDS = frozenset(
     "a an the of to in on at by for from with without and or but not no nor as is are was were be been it its that this these those "
@@ -43,35 +54,54 @@ FUNCTION_WORDS = frozenset(
     "every some all both either neither there here also only just how why whether into out up down about per".split()
 ) | frozenset("的了是在和与也把被将对从到又而且但若则时就只没不都已再或为之其此那这有会能可后前先每由给让")
 
-_SENTENCE = re.compile(r"[.!?](?=[\"'”’)\]]*(?:\s|$))|[。！？]")
-_LINK = re.compile(r"https?://|www\.|<a\s|\]\(|\bhref=|\b[\w-]+\.(?:com|org|net|io|test|example|invalid|html?)\b", re.I)
+_CUT = re.compile(r"""(?<=[.!?])["'”’)\]]*\s+|(?<=[。！？])""")
+_SENTENCE = re.compile(r"""[.!?。！？]["'”’)\]]*\s*$""")
+_LINK = re.compile(r"https?://|www\.|<a\s|\]\(|\bhref=|(?<=[\w-])\.(?:com|org|net|io|test|example|invalid|html?)\b", re.I)
 _SEPARATOR = re.compile(r"[,;/|>»›·•、，；｜#+]|\s[-–—:]\s")
-_TABLE = re.compile(r"^[^|]*\S\s*\|.*\|?\s*[\d.,%]+\s*\|?\s*$|^\|.*\|$|^[\s|:+-]+$")
 _CODE = re.compile(r"^\s*[A-Za-z_]\w*\s*(?:=|:=|\+=)\s*\S")
+_FIGURE = re.compile(r"[\d.,%+-]*\d[\d.,%]*$")
 _URL_TEXT = re.compile(r"https?://\S+|www\.\S+|<[^>]*>", re.I)
 
 
-def line_marks(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each line that holds words, its marks and how many words it has."""
-    split = [(line, w) for line in lines if (w := words(line))]
-    pairs = Counter(p for _, w in split for p in zip(w, w[1:]))
-    codes, sizes = np.zeros((len(split), len(MARKS)), np.uint8), np.zeros(len(split), np.int32)
-    for k, (line, w) in enumerate(split):
+def steps(text: str | None) -> list[tuple[str, list[str], int]]:
+    """The lines of a page that hold words, cut at the ends of sentences, with their words and how much they look like a row of a table or code.
+
+    A line beside one with as many bars may be a row (1); with a cell that is a figure it looks like one (2), and so does an assignment.
+    """
+    lines = (text or "").split("\n")
+    cells = [line.strip().strip("|").split("|") for line in lines]
+    out = []
+    for k, line in enumerate(lines):
+        row = len(cells[k]) > 1 and (k > 0 and len(cells[k - 1]) == len(cells[k]) or k + 1 < len(lines) and len(cells[k + 1]) == len(cells[k]))
+        form = 2 if _CODE.match(line) or row and any(_FIGURE.match(c.strip()) for c in cells[k]) else int(row)
+        out += [(part, w, form) for part in ([line] if form else _CUT.split(line)) if (w := words(part))]
+    return out
+
+
+def line_marks(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each step of a page, its marks and how many words it has."""
+    page = steps(text)
+    pairs = Counter(p for _, w, _ in page for p in zip(w, w[1:]))
+    own = Counter(x for _, w, _ in page for x in w if x not in FUNCTION_WORDS)
+    often, filling = max(3, sum(len(w) for _, w, _ in page) / 100), max(3, own.total() * 0.03)
+    codes, sizes = np.zeros((len(page), len(MARKS)), np.uint8), np.zeros(len(page), np.int32)
+    for k, (line, w, form) in enumerate(page):
         n = len(w)
-        bare = _URL_TEXT.sub(" ", line)
-        ends = len(_SENTENCE.findall(bare))
         links = len(_LINK.findall(line))
+        bare = _URL_TEXT.sub(" ", line) if links or "<" in line else line
         between = len(_SEPARATOR.findall(bare))
-        glue = sum(x in FUNCTION_WORDS for x in w) / n
-        again = sum(pairs[p] > 2 for p in zip(w, w[1:])) / max(1, n - 1)
+        held = [x for x in w if x not in FUNCTION_WORDS]
+        glue = n - len(held)
+        again = sum(pairs[p] >= often for p in zip(w, w[1:])) / max(1, n - 1)
+        again = (again + sum(own[x] >= filling for x in held) / max(1, len(held))) / 2
         codes[k] = (
-            int(n > 25) if not ends else 2 if ends * 60 < n else 3,  # a long line without a sentence's end says more
+            2 if _SENTENCE.search(bare) else int(n > 25),  # a long line without a sentence's end says more
             0 if not links else 1 if links * 12 < n else 2,
             0 if between * 12 < n else 1 if between * 5 < n else 2,
-            0 if glue < 0.04 else 1 if glue < 0.15 else 2,
-            0 if again < 0.2 else 1 if again < 0.5 else 2,
-            0 if n <= 3 else 1 if n <= 12 else 2,
-            bool(_TABLE.match(line.strip()) or _CODE.match(line)),
+            0 if glue < 0.04 * n else 1 if glue < 0.2 * n else 2 if glue < 0.35 * n else 3,
+            0 if again < 0.1 else 1 if again < 0.33 else 2 if again < 0.6 else 3,
+            0 if n <= 3 else 1 if n <= 8 else 2 if n <= 25 else 3,
+            form,
         )
         sizes[k] = n
     return codes, sizes
@@ -87,9 +117,7 @@ class Model:
 
     @classmethod
     def start(cls) -> Model:
-        after = np.full((len(STATES), len(STATES)), (1 - _STAY) / (len(STATES) - 1))
-        np.fill_diagonal(after, _STAY)
-        return cls(np.log([0.7, 0.1, 0.1, 0.1]), np.log(after), [np.log(START[m]) for m in MARKS])
+        return cls(np.log(FIRST), np.log(AFTER), [np.log(START[m]) for m in MARKS])
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.marks[m][:, codes[:, m]].T for m in range(len(MARKS)))
@@ -107,7 +135,7 @@ class Model:
         while at < len(by_length):
             end = at + 1
             longest = max(8, int(len(pages[by_length[at]]) * 1.3))
-            while end < len(by_length) and len(pages[by_length[end]]) <= longest and (end - at) * longest < 2_000_000:
+            while end < len(by_length) and len(pages[by_length[end]]) <= longest and (end - at) * longest < 400_000:
                 end += 1
             group, at = by_length[at:end], end
             sizes = np.array([len(pages[k]) for k in group])
@@ -150,24 +178,19 @@ class Model:
         return np.concatenate([first, moves.ravel(), *marks])
 
     def improved(self, counts: np.ndarray, hold: float) -> Model:
-        """The model of the counts; ``hold``: weight of the start's emissions against the counted ones, at any size."""
-        n = len(STATES)
-        first, moves, rest = counts[:n], counts[n : n + n * n].reshape(n, n), counts[n + n * n :]
-        marks = []
-        for m, (name, size) in enumerate(MARKS.items()):
-            part, rest = rest[: n * size].reshape(n, size), rest[n * size :]
-            seen = (part + 1e-3) / (part + 1e-3).sum(1, keepdims=True)
-            if name == "table or code":  # tables and code are no menus, however short their lines
-                seen = np.array(START[name])
-            marks.append(np.log((seen + hold * np.array(START[name])) / (1 + hold)))
-        start = Model.start()
-        mixed = lambda a, b: np.log(((a + 1e-3) / (a + 1e-3).sum(-1, keepdims=True) + hold * np.exp(b)) / (1 + hold))
-        return Model(mixed(first, start.first), mixed(moves, start.after), marks)
-
-    def non_prose(self, pages: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
-        """For each page, how many of its words stand in lines that are likelier not prose, tables and code aside."""
+        """The model of the counts; the start counts like ``hold`` lines of each state, so that its weight falls as the data grow."""
+        start, shares = Model.start(), []
+        tables = [start.first[None], start.after, *start.marks]
+        for table in tables:
+            part, counts = counts[: table.size].reshape(table.shape), counts[table.size :]
+            held = part + hold * np.exp(table)
+            shares.append(np.log(held / held.sum(1, keepdims=True)))
+        return Model(shares[0][0], shares[1], shares[2:])
+
+    def listed(self, pages: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+        """For each page, how many of its words stand in lines that are likelier links, tags or menus than anything else."""
         shares, _ = self.shares(pages)
-        return np.array([int(n[(s[:, 0] < 0.5) & (c[:, -1] == 0)].sum()) if len(s) else 0 for s, n, c in zip(shares, sizes, pages)], np.int64)
+        return np.array([int(n[s[:, LISTING].sum(1) > 0.5].sum()) if len(s) else 0 for s, n in zip(shares, sizes)], np.int64)
 
 
 def marked_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -175,7 +198,7 @@ def marked_pages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pages = [line_marks((t.as_py() or "").split("\n")) for t in b.column(1)]
+            pages = [line_marks(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c, _ in pages], pa.binary()), pa.array([n.tobytes() for _, n in pages], pa.binary())], ["id", "codes", "sizes"])
 
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
@@ -186,7 +209,7 @@ def _pages(column) -> list[np.ndarray]:
     return [np.frombuffer(c.as_buffer(), np.uint8).reshape(-1, len(MARKS)) for c in column]
 
 
-def fitted(pages: DataFrame, rounds: int = 3, hold: float = 0.5) -> Model:
+def fitted(pages: DataFrame, rounds: int = 3, hold: float = 1000) -> Model:
     """The model fitted to all pages; each round sums the counts of all partitions."""
     model = Model.start()
     for _ in range(rounds):
@@ -209,7 +232,7 @@ def _counter(model: Model):
 
 
 def page_shares(df: DataFrame, id_col: str, text_col: str, *, rounds: int = 3) -> DataFrame:
-    """``doc_id, words, other_words`` for each page with an id: its words, and those in lines that aren't prose.
+    """``doc_id, words, other_words`` for each page with an id: its words, and those in links, tags and menus.
 
     Null and empty pages have no words. Repeated ids give a row each. Other columns are not read.
     """
@@ -219,15 +242,12 @@ def page_shares(df: DataFrame, id_col: str, text_col: str, *, rounds: int = 3) -
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = [np.frombuffer(c.as_buffer(), np.int32) for c in b.column(2)]
-            other = model.non_prose(_pages(b.column(1)), sizes)
+            other = model.listed(_pages(b.column(1)), sizes)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(n.sum()) for n in sizes], pa.int64()), pa.array(other)], ["doc_id", "words", "other_words"])
 
     return pages.mapInArrow(score, "doc_id bigint, words bigint, other_words bigint")
 
 
-def stuffed_pages(df: DataFrame, id_col: str, text_col: str, *, share: float = 0.5, least_words: int = 12, rounds: int = 3) -> DataFrame:
-    """``doc_id`` of the pages of which more than ``share`` of the words stand in lines that aren't prose.
-
-    Pages of fewer than ``least_words`` words (an empty page, a note that one is still to be written) list nothing.
-    """
-    return page_shares(df, id_col, text_col, rounds=rounds).filter((F.col("words") >= least_words) & (F.col("other_words") > F.lit(share) * F.col("words"))).select("doc_id")
+def stuffed_pages(df: DataFrame, id_col: str, text_col: str, *, share: float = 0.5, rounds: int = 3) -> DataFrame:
+    """``doc_id`` of the pages of which more than ``share`` of the words stand in links, tags and menus; a page without words is none."""
+    return page_shares(df, id_col, text_col, rounds=rounds).filter(F.col("other_words") > F.lit(share) * F.col("words")).select("doc_id")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm.containers import Slots, fill, filled_containers, leftover_patterns, non_negative_least_squares, patterns, repeats
 from terrace.llm.leaks import FullTextIndex, WaveletMatrix, leaked_spans, suffix_order
-from terrace.llm.stuffed_pages import MARKS, Model, line_marks, page_shares, stuffed_pages
+from terrace.llm.stuffed_pages import MARKS, STATES, Model, line_marks, page_shares, steps, stuffed_pages
 from terrace.llm.subjects import Block, Parameters, document_subjects, paragraphs
 from terrace.llm.words import words
 from terrace.plans.lineage import written
@@ -101,10 +101,11 @@ def test_chances_of_states_against_enumeration():
     import itertools
 
     model = Model.start()
-    codes = line_marks(["Buy shoes now, buy shoes here", "The bridge was closed because of the flood.", "https://a.example/x", "x = 3"])[0]
+    codes = line_marks("Buy shoes now, buy shoes here\nThe bridge was closed because of the flood.\nhttps://a.example/x\nx = 3")[0]
     (share,), moves = model.shares([codes])
-    e, total, want, pairs = model.emissions(codes), 0, np.zeros((4, 4)), np.zeros((4, 4))
-    for path in itertools.product(range(4), repeat=4):
+    n = len(STATES)
+    e, total, want, pairs = model.emissions(codes), 0, np.zeros((4, n)), np.zeros((n, n))
+    for path in itertools.product(range(n), repeat=4):
         p = np.exp(model.first[path[0]] + sum(e[k, s] for k, s in enumerate(path)) + sum(model.after[a, b] for a, b in zip(path, path[1:])))
         total += p
         for k, s in enumerate(path):
@@ -114,6 +115,18 @@ def test_chances_of_states_against_enumeration():
     assert np.allclose(share, want / total) and np.allclose(moves, pairs / total) and len(MARKS) == codes.shape[1]
 
 
+def test_steps_of_a_page_and_counts_of_a_model():
+    text = "Title\n\nFirst one. Second one! 第一句。第二句\n\na | b\nc | 1,200\ne f | g\n\nx = 1. y"
+    assert [(p.strip(), form) for p, _, form in steps(text)] == [("Title", 0), ("First one.", 0), ("Second one!", 0), ("第一句。", 0), ("第二句", 0), ("a | b", 1), ("c | 1,200", 2), ("e f | g", 1), ("x = 1. y", 2)]
+    assert steps("red shoes | blue shoes | shoes 2024")[0][2] == 0 and steps(None) == steps("\n \n") == []
+    model = Model.start()
+    same = model.improved(model.counts([]), 1000)
+    assert np.allclose(same.after, model.after) and all(np.allclose(a, b) for a, b in zip(same.marks, model.marks))
+    codes = line_marks(text)[0]
+    free = model.improved(model.counts([codes] * 50), 1e-9)
+    assert np.allclose(np.exp(free.first).sum(), 1) and all(np.allclose(np.exp(m).sum(1), 1) for m in free.marks)
+
+
 # Subjects
 
 TOPICS = {"t1": "kernel compiler thread cache socket".split(), "t2": "court statute verdict appeal clause".split(), "t3": "violin chorus melody tempo drum".split()}
