@@ -53,8 +53,8 @@ def utf8_prefix(text: Column, limit: int, more: str = "…") -> Column:
 
 
 def truncate_text(text: Column, limit: int) -> Column:
-    """The first ``limit`` characters, with three dots after a text that was cut."""
-    return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(limit)), F.lit("...")))
+    """``byte_prefix``, with three dots after a text that was cut."""
+    return utf8_prefix(text, limit, "...")
 
 
 def sanitize_path(text: Column, limit: int = 100) -> Column:
@@ -106,10 +106,14 @@ def parse_array(text: Column) -> Column:
     return F.transform(found, lambda s: F.when(F.startswith(s, F.lit('"')), F.regexp_replace(F.substring(s, F.lit(2), F.char_length(s) - 2), r"\\(.)", "$1")).otherwise(s))
 
 
+#: The tags between which models put their reasoning.
+THINKING = ("think", "thinking", "redacted_thinking", "redacted_reasoning")
+
+
 def strip_thinking(text: Column) -> Column:
-    """An answer without what a model wrote between tags of thinking, trimmed."""
-    for tag in ("think", "thinking", "reasoning", "thought"):
-        text = F.regexp_replace(text, f"(?is)<{tag}>.*?</{tag}>", "")
+    """An answer without what a model wrote between tags of thinking, trimmed; white space may stand inside the brackets."""
+    for tag in THINKING:
+        text = F.regexp_replace(text, rf"(?is)<\s*{tag}\s*>.*?</\s*{tag}\s*>", "")
     return strip_text(text)
 
 
@@ -122,11 +126,13 @@ def split_answer(text: Column, mark: str = "---PART:KNOWLEDGE---") -> Column:
 
 
 def parse_bytes(text: Column, default: int) -> Column:
-    """A size such as ``10 MB`` or ``1.5GiB`` in bytes, units of 1,024; ``default`` for anything else, null included."""
-    unit = F.upper(F.regexp_extract(text, r"(?i)^\s*([0-9]+(?:\.[0-9]+)?)\s*([kmgt]?)i?b?\s*$", 2))
-    number = F.regexp_extract(text, r"(?i)^\s*([0-9]+(?:\.[0-9]+)?)\s*([kmgt]?)i?b?\s*$", 1)
-    scale = F.pow(F.lit(1024.0), F.locate("K", unit) + 2 * F.locate("M", unit) + 3 * F.locate("G", unit) + 4 * F.locate("T", unit))
-    return F.coalesce(F.when(number != "", F.floor(F.try_to_number(number, F.lit("9999999999999.999999")).cast("double") * scale).cast("bigint")), F.lit(default).cast("bigint"))
+    """A size such as ``10 MB`` or ``1.5GiB`` in bytes, with KB, MB, GB, KiB, MiB or GiB (units of 1,024) or none; ``default`` for anything else, null and what is not above zero included."""
+    bare = F.upper(F.replace(strip_text(text), F.lit(" "), F.lit("")))
+    form = r"^(\+?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:E[+-]?[0-9]+)?)(?:([KMG])I?B)?$"
+    unit, number = F.regexp_extract(bare, form, 2), F.regexp_extract(bare, form, 1)
+    scale = F.pow(F.lit(1024.0), F.locate("K", unit) + 2 * F.locate("M", unit) + 3 * F.locate("G", unit))
+    size = F.when(number != "", number).try_cast("double") * scale
+    return F.coalesce(F.when(size >= 1, size.try_cast("bigint")), F.lit(default).cast("bigint"))
 
 
 def limit_or(text: Column, default: int, most: int) -> Column:
@@ -147,13 +153,28 @@ def json_relevances(text: Column, key: str = "id") -> Column:
     return F.coalesce(F.from_json(json_array_text(text), kind), F.array().cast(kind))
 
 
+#: What a secret's text begins with, and what takes the place of a masked one.
+SECRET_PREFIXES = ("sk-", "sk_live", "sk_test", "sk_proj", "pk_live", "pk_test", "rk_live", "rk_test", "ts_u_", "tsk_live", "tsk_admin")
+MASK = "[redacted]"
+
+
 def redact(text: Column) -> Column:
-    """Masks what looks like a credential: signed tokens, keys with known prefixes, key blocks, names and passwords in addresses."""
-    masked = F.regexp_replace(text, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[redacted]")
-    masked = F.regexp_replace(masked, r"\b(?:sk|pk|rk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}", "[redacted]")
-    masked = F.regexp_replace(masked, r"\bAKIA[0-9A-Z]{16}\b", "[redacted]")
-    masked = F.regexp_replace(masked, r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[redacted]")
-    return F.regexp_replace(masked, r"://[^/\s:@]+:[^/\s@]+@", "://[redacted]@")
+    """A text whose trimmed whole looks like a credential as a mask with its kind; in other texts, name and password of addresses are masked.
+
+    Kinds: blocks of private keys, signed tokens (three parts of ten characters or more), keys of a known prefix and at
+    least twelve bytes, access key ids of twenty characters.
+    """
+    bare, part = strip_text(text), r"[A-Za-z0-9_=-]{10,}"
+    pieces = F.split(bare, r"\.")
+    telling = F.forall(pieces, lambda p: (F.char_length(F.regexp_replace(p, "[-_=]", "")) >= F.floor(F.char_length(p) / F.lit(2))) & ~p.rlike("^[0-9]+$"))
+    token = bare.rlike(rf"^{part}\.{part}\.{part}$") & (F.char_length(bare) >= 40) & telling
+    known = bare.rlike("(?i)^(?:" + "|".join(SECRET_PREFIXES) + ")") & (F.octet_length(bare) >= 12)
+    address = F.regexp_replace(bare, r"(?i)([a-z][a-z0-9+.-]*://)([^/?#:]+):([^@/?#]*)@", "$1*:*@")
+    kinds = ((F.contains(bare, F.lit("BEGIN")) & F.contains(bare, F.lit("PRIVATE")), "pem-private-block"), (token, "jwt"), (known, "credential-prefix"), (bare.rlike("^A[KS]IA[A-Z0-9]{16}$"), "aws-access-key-id"))
+    masked = F.when(F.lit(False), text)
+    for test, kind in kinds:
+        masked = masked.when(test, F.lit(f"{MASK}:{kind}"))
+    return masked.when(address != bare, address).otherwise(text)
 
 
 def ip_prefix(ip: Column) -> Column:
@@ -161,6 +182,16 @@ def ip_prefix(ip: Column) -> Column:
     return F.when(F.contains(ip, F.lit(":")), F.substring_index(ip, ":", 4)).otherwise(F.substring_index(ip, ".", 3))
 
 
+def reference_entry(number: Column, title: Column, document_id: Column, path: Column, status: Column, relevance: Column, content: Column, most: int = 3500) -> Column:
+    """One entry of a prompt's list of references; its excerpt takes at most ``most`` bytes. Nulls are empty, an empty status is left out."""
+    of = lambda c: F.coalesce(c, F.lit(""))
+    told = F.when(of(status) != "", F.concat(F.lit("Document status: "), status, F.lit("\n"))).otherwise(F.lit(""))
+    return F.concat(
+        F.lit("\n### Reference [^"), number.cast("string"), F.lit("^]\nTitle: "), of(title), F.lit("\nDocument ID: "), of(document_id), F.lit("\nPath: "), of(path), F.lit("\n"), told,
+        F.lit("Relevance (0-1): "), F.format_string("%.4f", relevance), F.lit("\nExcerpt:\n"), utf8_prefix(of(content), most, "\n…(truncated)"), F.lit("\n"),
+    )
+
+
 def fingerprint(agent: Column, ip: Column, zone: Column, signal: Column) -> Column:
     """A hash of a caller's agent (in lower case, at most 512 bytes), network, time zone and signal; nulls count as empty."""
     of = lambda c: F.coalesce(c, F.lit(""))

@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Embedder = Callable[[list[str]], np.ndarray]
 
+def hashed_counts(texts: list[str | None], dim: int = 384, most: int = 10_000) -> np.ndarray:
+    """How many of a text's first ``most`` runs of four bytes are hashed into each bucket; zeros for texts of fewer bytes.
 
-def hash_embeddings(texts: list[str | None], dim: int = 384, most: int = 10_000) -> np.ndarray:
-    """Counts of the hashed runs of four bytes among a text's first ``most``, to length one; zeros for shorter texts."""
-    out = np.zeros((len(texts), dim))
+    The store's fallback embedding reads no more than that of a text; ``most`` is its parameter.
+    """
+    out = np.zeros((len(texts), dim), np.float32)
     for k, text in enumerate(texts):
         b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
         n = min(len(b) - 3, most)
         if n > 0:
-            buckets = (((b[:n] * 31 + b[1 : n + 1]) * 31 + b[2 : n + 2]) * 31 + b[3 : n + 3]) % dim
-            counts = np.bincount(buckets, minlength=dim)
-            out[k] = counts / np.sqrt((counts * counts).sum())
+            out[k] = np.bincount((((b[:n] * 31 + b[1 : n + 1]) * 31 + b[2 : n + 2]) * 31 + b[3 : n + 3]) % dim, minlength=dim)
     return out
 
 
+def hash_embeddings(texts: list[str | None], dim: int = 384, most: int = 10_000) -> np.ndarray:
+    """``hashed_counts`` to length one; zeros stay zeros."""
+    counts = hashed_counts(texts, dim, most).astype(np.float64)
+    norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+    return counts / np.where(norm > 0, norm, 1)
+
+
+def hash_counts(text: Column, dim: int = 384) -> Column:
+    """``hashed_counts`` in Arrow batches: small whole numbers, which take little room in a file."""
+
+    @F.pandas_udf("array<float>")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(hashed_counts(texts.tolist(), dim)))
+
+    return count(text)
+
+
 def hash_embedding(text: Column, dim: int = 384) -> Column:
     """``hash_embeddings`` in Arrow batches."""
 
@@ -35,22 +49,17 @@ def hash_embedding(text: Column, dim: int = 384) -> Column:
     return embed(text)
 
 
-def with_fallback(neural: Embedder | None, dim: int = 384) -> Callable[[Column], Column]:
-    """Embeddings by ``neural``, by hashing where there is none, it fails, or its width is another."""
+def usable(vector: Column, dim: int) -> Column:
+    """Whether a vector has ``dim`` finite values, not all zero; false for null."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(vector, lambda x: x != 0)
+    return F.coalesce((F.size(vector) == dim) & good, F.lit(False))
 
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        given = texts.tolist()
-        if neural is not None:
-            try:
-                made = np.asarray(neural([t or "" for t in given]), np.float64)
-                if made.shape == (len(given), dim):
-                    return pd.Series(list(made))
-            except Exception:  # any failure of a model falls back
-                pass
-        return pd.Series(list(hash_embeddings(given, dim)))
-
-    return embed
+
+def embedded(df: DataFrame, vec_col: str, text_col: str, dim: int = 384) -> DataFrame:
+    """``df`` with ``v``, the given vector where it is usable and the hashed embedding of the text elsewhere, and with ``hashed``, which of them it is. Only the texts of the latter are hashed."""
+    stored = df.filter(usable(F.col(vec_col), dim)).withColumn("v", F.col(vec_col).cast("array<double>")).withColumn("hashed", F.lit(False))
+    rest = df.filter(~usable(F.col(vec_col), dim)).withColumn("v", hash_embedding(F.coalesce(text_col, F.lit("")), dim)).withColumn("hashed", F.lit(True))
+    return stored.unionByName(rest)
 
 
 def _sum(values: Column) -> Column:

@@ -57,10 +57,9 @@ def tags_by_topics(tags: DataFrame, topic_ids: DataFrame, limit: int | None = No
 
 
 def distinct_tags_of(tags: DataFrame, topics: DataFrame) -> DataFrame:
-    """Each tag that a topic lists by name or that points to a topic, once."""
-    listed = topics.select(F.col("id").alias("by"), F.explode("tag_names").alias("name")).join(tags.select("name", F.col("id").alias("tag_id")), "name")
-    pointed = tags.select("name", F.col("id").alias("tag_id"), F.col("topic_id").alias("by")).join(topics.select(F.col("id").alias("by")), "by", "left_semi")
-    return listed.select("tag_id", "name").unionByName(pointed.select("tag_id", "name")).distinct()
+    """``tag_id, name`` of each tag that points to one of the topics, once."""
+    pointed = tags.join(topics.select(F.col("id").alias("topic_id")).distinct(), "topic_id", "left_semi")
+    return pointed.select(F.col("id").alias("tag_id"), "name").distinct()
 
 
 def browse(documents: DataFrame, topics: DataFrame, text: str = "") -> DataFrame:
@@ -128,8 +127,8 @@ def upserted_spans(spans: DataFrame) -> DataFrame:
 
 
 def regrouped_topics(tags: DataFrame, name: str = "All tags") -> DataFrame:
-    """``name, tag_names``: one topic with all tags by name."""
-    return tags.agg(F.sort_array(F.collect_set("name")).alias("tag_names")).select(F.lit(name).alias("name"), "tag_names")
+    """``topic, tag``: one topic with all tags, a row for each, so that no list of unknown length is gathered."""
+    return tags.filter("name IS NOT NULL").select(F.lit(name).alias("topic"), F.col("name").alias("tag")).distinct()
 
 
 def entombed(tombstones: DataFrame, documents: DataFrame, as_of: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrace.functions.text import span_duration_ms
 
 #: Upper bounds of the histograms' buckets, in seconds.
-BUCKETS = (0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 300.0)
+BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0)
 
 
 def is_root() -> Column:
@@ -27,8 +27,12 @@ def root_names(spans: DataFrame) -> DataFrame:
 
 
 def trace_summaries(spans: DataFrame, service: str = "") -> DataFrame:
-    """``trace_id, started, ended, spans, errors, root_name`` of traces that own a root, over the spans whose attributes contain ``service``."""
-    kept = spans.filter(F.contains(F.coalesce("attributes_json", F.lit("")), F.lit(service))) if service else spans
+    """``trace_id, started, ended, spans, errors, root_name`` of traces that own a root, over the spans of the service, or all without one.
+
+    The service is looked for in the attributes as they are written: ``"service.name":"<service>"``.
+    """
+    told = '"service.name":"' + service.strip().replace('"', '\\"') + '"'
+    kept = spans.filter(F.contains(F.coalesce("attributes_json", F.lit("")), F.lit(told))) if service.strip() else spans
     root, first = is_root(), F.struct("start_time_unix_nano", "span_id")
     sums = kept.groupBy("trace_id").agg(
         F.min("start_time_unix_nano").alias("started"),
@@ -47,7 +51,7 @@ def page(rows: DataFrame, order: list[Column], offset: int, limit: int, most: in
 
 
 def filtered_spans(spans: DataFrame, *, text: str = "", status: str = "", kind: str = "", errors_only: bool = False, slow_ms: float | None = None) -> DataFrame:
-    """Spans that meet all that is asked for, with ``duration_ms``; ``text`` is looked for in name, ids and attributes."""
+    """Spans that meet all that is asked for, with ``duration_ms``; ``text`` is looked for in name, own and parent's id and attributes."""
     out = spans.withColumn("duration_ms", span_duration_ms(F.col("start_time_unix_nano"), F.col("end_time_unix_nano")))
     if status:
         out = out.filter(F.lower("status_code") == status.lower())
@@ -58,7 +62,7 @@ def filtered_spans(spans: DataFrame, *, text: str = "", status: str = "", kind:
     if slow_ms is not None:
         out = out.filter(F.col("duration_ms") >= slow_ms)
     if text:
-        places = F.concat_ws("\n", "name", "trace_id", "span_id", "attributes_json")
+        places = F.concat_ws("\n", "name", "span_id", "parent_span_id", "attributes_json")
         out = out.filter(F.contains(F.lower(places), F.lit(text.lower())))
     return out
 

@@ -186,7 +186,7 @@ def join_chapter_doc_status(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chapters").select("id", "path", "document_id").join(documents, "document_id", "left").select("id", "path", "status", "query_count")
 
 
-@query("WITH t AS (SELECT * FROM topics WHERE description IS NOT NULL) SELECT g.id AS tag_id, g.name FROM tags g JOIN (SELECT unnest(tag_names) AS name FROM t) x ON x.name = g.name UNION SELECT g.id, g.name FROM tags g JOIN t ON t.id = g.topic_id")
+@query("SELECT DISTINCT g.id AS tag_id, g.name FROM tags g JOIN topics t ON t.id = g.topic_id WHERE t.description IS NOT NULL")
 def join_topic_tags_distinct(spark: SparkSession, folder: str) -> DataFrame:
     return c.distinct_tags_of(table(spark, folder, "tags"), table(spark, folder, "topics").filter("description IS NOT NULL"))
 
@@ -276,10 +276,9 @@ def sink_upsert_tag(spark: SparkSession, folder: str) -> DataFrame:
     return made.join(tags.select("name", F.lit(False).alias("known")), "name", "left").select("name", F.coalesce("known", F.lit(True)).alias("added"), *micros("updated_at"))
 
 
-@query("SELECT 'All tags' AS name, count(DISTINCT name) AS tags, string_agg(DISTINCT name, ',' ORDER BY name) AS tag_names FROM tags")
+@query("SELECT DISTINCT 'All tags' AS topic, name AS tag FROM tags WHERE name IS NOT NULL")
 def sink_catalog_reset(spark: SparkSession, folder: str) -> DataFrame:
-    made = c.regrouped_topics(table(spark, folder, "tags"))
-    return made.select("name", F.size("tag_names").cast("bigint").alias("tags"), F.array_join("tag_names", ",").alias("tag_names"))
+    return c.regrouped_topics(table(spark, folder, "tags"))
 
 
 @query("SELECT document_id FROM deleted_documents UNION ALL SELECT id FROM documents WHERE status = 'archived'")

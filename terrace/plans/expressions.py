@@ -107,15 +107,16 @@ def utf8_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").filter("title IS NOT NULL").select("id", t.utf8_prefix(F.col("title"), 24).alias("short"))
 
 
-@query("SELECT id, CASE WHEN len(summary) <= 60 THEN summary ELSE left(summary, 60) || '...' END AS short FROM documents WHERE summary IS NOT NULL")
+@query(f"SELECT id, CASE WHEN octet_length(encode(summary)) <= 60 THEN summary ELSE {sql_prefix('summary', 60)} || '...' END AS short FROM documents WHERE summary IS NOT NULL")
 def truncate_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").filter("summary IS NOT NULL").select("id", t.truncate_text(F.col("summary"), 60).alias("short"))
 
 
-@query(f"SELECT id, {sql_strip('coalesce(content, chr(32))')} AS answer FROM documents")
+@query(f"SELECT id, {sql_strip("coalesce(content, '') || '<reasoning>kept</reasoning> '")} AS answer FROM documents")
 def strip_thinking(spark: SparkSession, folder: str) -> DataFrame:
-    """Summaries put between tags of thinking before the contents are gone again."""
-    told = F.concat(F.lit("<think>"), F.coalesce("summary", F.lit("")), F.lit("</think>"), F.coalesce("content", F.lit(" ")), F.lit("<REASONING>\nmore\n</reasoning>"))
+    """Summaries put between tags of thinking around the contents are gone again; other tags stay."""
+    summary = F.coalesce("summary", F.lit(""))
+    told = F.concat(F.lit("< think >"), summary, F.lit("</THINK><thinking>a\nb</thinking>"), F.coalesce("content", F.lit("")), F.lit("<reasoning>kept</reasoning> <REDACTED_reasoning>\nmore\n</redacted_reasoning\n><redacted_thinking>"), summary, F.lit("</redacted_thinking>"))
     return table(spark, folder, "documents").select("id", t.strip_thinking(told).alias("answer"))
 
 
@@ -125,11 +126,11 @@ def split_dual_answer(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("id", t.split_answer(both).alias("a")).select("id", "a.answer", "a.knowledge")
 
 
-@query("SELECT id, coalesce(n_chars, 0) * CASE id[1] WHEN '0' THEN 1 WHEN '1' THEN 1024 WHEN '2' THEN 1048576 ELSE 1073741824 END AS bytes FROM documents")
+@query("SELECT id, CASE WHEN coalesce(n_chars, 0) <= 0 THEN -1 ELSE CASE id[1] WHEN '0' THEN n_chars WHEN '1' THEN n_chars * 1024 WHEN '2' THEN n_chars * 1048576 WHEN '3' THEN n_chars * 1024 + 512 WHEN '4' THEN n_chars * 1073741824 WHEN '5' THEN n_chars * 1073741824 ELSE -1 END END AS bytes FROM documents")
 def parse_human_bytes(spark: SparkSession, folder: str) -> DataFrame:
-    """Sizes written with units, then read."""
-    unit = F.expr("CASE substring(id, 1, 1) WHEN '0' THEN '' WHEN '1' THEN ' KiB' WHEN '2' THEN 'mb' ELSE ' G' END")
-    return table(spark, folder, "documents").select("id", t.parse_bytes(F.concat(F.coalesce("n_chars", F.lit(0)).cast("string"), unit), -1).alias("bytes"))
+    """Lengths written with units, then read; other units, no number and zero give the default of -1."""
+    unit = F.expr("CASE substring(id, 1, 1) WHEN '0' THEN ' ' WHEN '1' THEN ' KiB' WHEN '2' THEN 'mb' WHEN '3' THEN '.5 kb ' WHEN '4' THEN 'G B' WHEN '5' THEN ' gib' WHEN '6' THEN ' G' WHEN '7' THEN 'TB' WHEN '8' THEN 'B' ELSE ' bytes' END")
+    return table(spark, folder, "documents").select("id", t.parse_bytes(F.concat(F.lit(" "), F.coalesce("n_chars", F.lit(0)).cast("string"), unit), -1).alias("bytes"))
 
 
 @query("SELECT id, least(CASE WHEN query_count >= 1 THEN query_count ELSE 15 END, 100)::INT AS asked FROM documents")
@@ -151,13 +152,24 @@ def json_extract_array(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "topics").select("id", F.explode(read).alias("r")).select("id", "r.tag", "r.relevance").filter("tag IS NOT NULL")
 
 
-@query(
-    r"""SELECT id, regexp_replace(regexp_replace(regexp_replace(coalesce(summary, ''), 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '[redacted]', 'g'), '\b(?:sk|pk|rk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}', '[redacted]', 'g'), '\bAKIA[0-9A-Z]{16}\b', '[redacted]', 'g')
-    || ' https://[redacted]@host/x [redacted]' AS clean FROM documents"""
-)
+_LEAF = """
+CASE WHEN contains(trim(v), 'BEGIN') AND contains(trim(v), 'PRIVATE') THEN '[redacted]:pem-private-block'
+     WHEN regexp_full_match(trim(v), '[A-Za-z0-9_=-]{10,}\\.[A-Za-z0-9_=-]{10,}\\.[A-Za-z0-9_=-]{10,}') AND len(trim(v)) >= 40
+          AND len(list_filter(string_split(trim(v), '.'), lambda p: len(regexp_replace(p, '[-_=]', '', 'g')) < len(p) // 2 OR regexp_full_match(p, '[0-9]+'))) = 0 THEN '[redacted]:jwt'
+     WHEN regexp_matches(lower(trim(v)), '^(sk-|sk_live|sk_test|sk_proj|pk_live|pk_test|rk_live|rk_test|ts_u_|tsk_live|tsk_admin)') AND octet_length(encode(trim(v))) >= 12 THEN '[redacted]:credential-prefix'
+     WHEN regexp_full_match(trim(v), '(AKIA|ASIA)[A-Z0-9]{16}') THEN '[redacted]:aws-access-key-id'
+     WHEN regexp_matches(trim(v), '(?i)([a-z][a-z0-9+.-]*://)([^/?#:]+):([^@/?#]*)@') THEN regexp_replace(trim(v), '(?i)([a-z][a-z0-9+.-]*://)([^/?#:]+):([^@/?#]*)@', '\\1*:*@', 'g')
+     ELSE v END"""
+_LEAVES = """CASE id[1] WHEN '0' THEN 'sk-' || id WHEN '1' THEN ' Sk_Live' || left(id, 3) WHEN '2' THEN replace(id, '-', '') || '.' || left(id, 13) || '.' || id WHEN '3' THEN '12345678901.' || left(id, 13) || '.' || id
+     WHEN '4' THEN 'AKIA' || upper(replace(left(id, 18), '-', '')) WHEN '5' THEN 'ASIA' || upper(left(replace(id, '-', ''), 15)) WHEN '6' THEN 'see HTTPS://' || left(id, 8) || ':' || left(id, 4) || '@host/x and db://a@b' WHEN '7' THEN '-----BEGIN RSA PRIVATE KEY-----' || id
+     WHEN '8' THEN 'my sk-' || id ELSE coalesce(summary, '') END"""
+
+
+@query(f"SELECT id, {_LEAF} AS clean FROM (SELECT id, {_LEAVES} AS v FROM documents)")
 def redact_value(spark: SparkSession, folder: str) -> DataFrame:
-    leaky = F.concat(F.coalesce("summary", F.lit("")), F.lit(" https://"), F.substring("id", 1, 8), F.lit(":"), F.substring("id", 10, 4), F.lit("@host/x sk-"), F.replace("id", F.lit("-"), F.lit("_")))
-    return table(spark, folder, "documents").select("id", t.redact(leaky).alias("clean"))
+    """Values of each kind made from ids, the others summaries, masked."""
+    made = F.expr(_LEAVES.replace("id[1]", "substring(id, 1, 1)"))
+    return table(spark, folder, "documents").select("id", t.redact(made).alias("clean"))
 
 
 @query("SELECT event_id, sha256(lower('Agent/' || event_type) || '|' || (user_id % 250) || '.10.20' || '|UTC|' || props) AS fingerprint FROM events")

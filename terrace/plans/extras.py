@@ -1,4 +1,4 @@
-"""Queries of per-text parsing, of ingest checks, of rate limits and of streams."""
+"""Queries of per-text parsing, of ingest checks and of streams."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import json
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +13,12 @@ from pyspark.sql import functions as F
 
 from terrace.functions import markdown
 from terrace.functions import text as t
-from terrace.functions.vectors import with_fallback
+from terrace.functions.vectors import dot, embedded
 from terrace.operators.chunking import split_chapters
-from terrace.operators.rates import rate_limited
+from terrace.plans.catalogue import sql_strip
+from terrace.plans.expressions import sql_prefix
 from terrace.plans.lineage import shared_folder
+from terrace.plans.searches import sql_hashed
 from terrace.sources.tables import table
 from terrace.streaming import jobs
 
@@ -77,9 +78,13 @@ def merge_bottom_up(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT document_id, path FROM (SELECT document_id, CASE WHEN trim(coalesce(title, '')) = '' THEN document_id || '/chapter/' || k ELSE document_id || '/' || title END AS path FROM (SELECT document_id, translate(trim(title), '/\\', '--') AS title, row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) AS k FROM chapters WHERE coalesce(octet_length(encode(title)), 0) <= 100))")
+@query(
+    f"""
+WITH r AS (SELECT document_id, translate({sql_strip("coalesce(title, '')")}, '/\', '--') AS title, row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) AS k FROM chapters)
+SELECT document_id, CASE WHEN title = '' THEN document_id || '/chapter/' || k ELSE document_id || '/' || {sql_prefix("title", 100)} END AS path FROM r"""
+)
 def materialize_path(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of chapters from their titles, or from their place where they have none. The SQL leaves titles of over 100 bytes out."""
+    """Paths of chapters from their titles, cut at 100 bytes, or from their place where they have none."""
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("document_id").orderBy("created_at", "id"))
@@ -94,26 +99,43 @@ def validate_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("id", verdict.alias("verdict"))
 
 
-@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) AS k FROM chapters) SELECT document_id, string_agg('[' || k || '] ' || coalesce(title, '') || chr(10) || left(coalesce(content, ''), 80), chr(10) || chr(10) ORDER BY k) AS block FROM r WHERE k <= 12 GROUP BY document_id")
+_BODY = "coalesce(content, '')"
+
+
+@query(
+    f"""
+WITH r AS (SELECT c.*, d.status, d.hot_score, row_number() OVER (PARTITION BY c.document_id ORDER BY c.created_at, c.id) AS k FROM chapters c LEFT JOIN documents d ON d.id = c.document_id),
+x AS (SELECT *, CASE WHEN octet_length(encode({_BODY})) <= 3500 THEN {_BODY} ELSE {sql_prefix(_BODY, 3500)} || chr(10) || '…(truncated)' END AS excerpt FROM r WHERE k <= 12)
+SELECT document_id, '--- References ---' || chr(10) || string_agg(chr(10) || '### Reference [^' || k || '^]' || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Document ID: ' || document_id || chr(10) || 'Path: ' || coalesce(path, '') || chr(10)
+       || CASE WHEN status <> '' THEN 'Document status: ' || status || chr(10) ELSE '' END || 'Relevance (0-1): ' || printf('%.4f', least(1, greatest(0, coalesce(hot_score, 0)))) || chr(10) || 'Excerpt:' || chr(10) || excerpt || chr(10), '' ORDER BY k) AS block FROM x GROUP BY document_id"""
+)
 def build_reference_block(spark: SparkSession, folder: str) -> DataFrame:
-    """The first twelve chapters of each document as a numbered list of excerpts of at most 3,500 bytes. The SQL cuts them at 80 characters."""
+    """The first twelve chapters of each document as numbered references with excerpts of at most 3,500 bytes; the hot score, cut to 0 .. 1, stands for the relevance."""
     from pyspark.sql import Window
 
+    documents = table(spark, folder, "documents").select(F.col("id").alias("document_id"), "status", F.least(F.greatest(F.coalesce("hot_score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("relevance"))
     ranked = table(spark, folder, "chapters").withColumn("k", F.row_number().over(Window.partitionBy("document_id").orderBy("created_at", "id"))).filter("k <= 12")
-    line = F.concat(F.lit("["), F.col("k").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), t.utf8_prefix(F.coalesce("content", F.lit("")), 3500, "\n…(truncated)"))
-    lists = ranked.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("k", line.alias("line")))).alias("l"))
-    return lists.select("document_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n\n").alias("block"))
+    ranked = ranked.join(documents, "document_id", "left")
+    entry = t.reference_entry(F.col("k"), F.col("title"), F.col("document_id"), F.col("path"), F.col("status"), F.coalesce("relevance", F.lit(0.0)), F.col("content"))
+    lists = ranked.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("k", entry.alias("entry")))).alias("l"))  # twelve at most
+    return lists.select("document_id", F.concat(F.lit("--- References ---\n"), F.array_join(F.transform("l", lambda x: x["entry"]), "")).alias("block"))
 
 
-@query()
-def embed_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    """Embeddings of titles by a model that fails on every batch: all are hashed, of length one or zero."""
+_USABLE = "len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 
-    def broken(texts: list[str]) -> np.ndarray:
-        raise RuntimeError("no model here")
 
-    made = table(spark, folder, "documents").select("id", with_fallback(broken)(F.coalesce("title", F.lit(""))).alias("v"))
-    return made.select("id", F.size("v").alias("width"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("square"))
+@query(
+    f"""
+WITH d AS (SELECT doc_id AS key, embedding, coalesce(content, '') AS text, coalesce({_USABLE}, false) AS stored FROM documents),
+h AS {sql_hashed("SELECT key, text FROM d WHERE NOT stored")},
+v AS (SELECT key, unnest(range(0, 384)) AS bucket, unnest(embedding)::DOUBLE AS w FROM d WHERE stored UNION ALL SELECT key, bucket, w FROM h)
+SELECT d.key AS doc_id, NOT any_value(stored) AS hashed, round(coalesce(sum(w * w), 0), 4) AS square, round(coalesce(sum(w * (bucket + 1)), 0), 3) AS moment FROM d LEFT JOIN v USING (key) GROUP BY d.key"""
+)
+def embed_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored embedding of each document, or the hashed one of its content where that can't be used; two sums stand for the 384 values."""
+    made = embedded(table(spark, folder, "documents", spread=True).select("doc_id", "embedding", "content"), "embedding", "content")
+    ramp = F.transform(F.sequence(F.lit(1), F.lit(384)), lambda k: k.cast("double"))
+    return made.select("doc_id", "hashed", F.round(dot(F.col("v"), F.col("v")), 4).alias("square"), F.round(dot(F.col("v"), ramp), 3).alias("moment"))
 
 
 def first_object(text: str | None) -> str | None:
@@ -140,13 +162,7 @@ def json_extract_object(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("id", F.from_json(find(told), "title string, summary string").alias("o")).select("id", "o.title", "o.summary")
 
 
-# Rates and streams --------------------------------------------------------------------------------------------
-
-
-@query()
-def token_bucket(spark: SparkSession, folder: str) -> DataFrame:
-    """Which events a bucket of five for each user, filled once in two hours, would admit."""
-    return rate_limited(table(spark, folder, "events"), "event_id", "user_id", "ts", rate=1 / 7200, idle=86_400)
+# Streams ------------------------------------------------------------------------------------------------------
 
 
 def _replayed(spark: SparkSession, folder: str, name: str, time_col: str, **options) -> DataFrame:
@@ -159,22 +175,17 @@ def _streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
-@query()
-def stream_token_bucket(spark: SparkSession, folder: str) -> DataFrame:
-    """The same as calls come in, in the order of time, with each user's bucket as state."""
-    return _streamed(spark, jobs.limited_calls(_replayed(spark, folder, "events", "ts"), "event_id", "user_id", "ts", rate=1 / 7200, idle=86_400))
-
-
 @query("SELECT trace_id, span_id, count(*) AS n FROM (SELECT DISTINCT trace_id, span_id FROM otel_spans) GROUP BY ALL")
 def stream_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Spans as they arrive, each once."""
     return _streamed(spark, jobs.arriving_spans(jobs.stream(spark, folder, "otel_spans"), "3650 days").select("trace_id", "span_id")).groupBy("trace_id", "span_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type AS key, count(*) AS calls FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_usage(spark: SparkSession, folder: str) -> DataFrame:
     """Events of each type in each hour, the last ones included."""
-    return _streamed(spark, jobs.calls_in_windows(_replayed(spark, folder, "events", "ts", close="2 hours"), "ts", "event_type"))
+    made = _streamed(spark, jobs.calls_in_windows(_replayed(spark, folder, "events", "ts", close="2 hours"), "ts", "event_type"))
+    return made.select(F.unix_micros("start").alias("start"), "key", "calls")
 
 
 @query()

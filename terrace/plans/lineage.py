@@ -16,10 +16,14 @@ _folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A folder of this application below ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in this process."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrace-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="terrace-")
         _folders[app] = f"{root.rstrip('/')}/terrace-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _folders[app])
     return _folders[app]

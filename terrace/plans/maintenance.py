@@ -64,7 +64,7 @@ def scalar_sub_root_name(spark: SparkSession, folder: str) -> DataFrame:
 _SUMMARY = (
     _LAST
     + """,
-k AS (SELECT *, coalesce(trim(parent_span_id), '') = '' AS root FROM s WHERE contains(coalesce(attributes_json, ''), 'kb-')),
+k AS (SELECT *, coalesce(trim(parent_span_id), '') = '' AS root FROM s WHERE contains(coalesce(attributes_json, ''), '"service.name":"kb-api"')),
 sums AS (SELECT trace_id, min(start_time_unix_nano) AS started, max(end_time_unix_nano) AS ended, count(*) AS spans, count(*) FILTER (WHERE lower(status_code) = 'error') AS errors,
          arg_min(name, (start_time_unix_nano, span_id)) FILTER (WHERE root) AS root_name FROM k GROUP BY trace_id HAVING bool_or(root))"""
 )
@@ -72,17 +72,17 @@ sums AS (SELECT trace_id, min(start_time_unix_nano) AS started, max(end_time_uni
 
 @query(_SUMMARY + " SELECT * FROM sums")
 def agg_trace_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return t.trace_summaries(_spans(spark, folder), "kb-")
+    return t.trace_summaries(_spans(spark, folder), "kb-api")
 
 
 @query(_SUMMARY + " SELECT * FROM sums ORDER BY started DESC, trace_id LIMIT 50 OFFSET 20")
 def offset_page(spark: SparkSession, folder: str) -> DataFrame:
-    return t.page(t.trace_summaries(_spans(spark, folder), "kb-"), [F.desc("started"), F.asc("trace_id")], 20, 0)
+    return t.page(t.trace_summaries(_spans(spark, folder), "kb-api"), [F.desc("started"), F.asc("trace_id")], 20, 0)
 
 
 @query(_SUMMARY + " SELECT trace_id, root_name FROM sums WHERE contains(lower(trace_id), 'ab') OR contains(lower(root_name), 'query')")
 def trace_list_filter(spark: SparkSession, folder: str) -> DataFrame:
-    sums = t.trace_summaries(_spans(spark, folder), "kb-")
+    sums = t.trace_summaries(_spans(spark, folder), "kb-api")
     return sums.filter(F.contains(F.lower("trace_id"), F.lit("ab")) | F.contains(F.lower("root_name"), F.lit("query"))).select("trace_id", "root_name")
 
 
@@ -91,7 +91,7 @@ def agg_trace_errors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "otel_spans").groupBy("trace_id").agg(F.count_if(F.lower("status_code") == "error").alias("errors"), F.count("*").alias("spans"))
 
 
-@query("SELECT id, (end_time_unix_nano - start_time_unix_nano) / 1e6::DOUBLE AS duration_ms FROM otel_spans WHERE lower(status_code) = 'error' AND end_time_unix_nano >= start_time_unix_nano AND (end_time_unix_nano - start_time_unix_nano) / 1e6::DOUBLE >= 10 AND contains(lower(concat_ws(chr(10), name, trace_id, span_id, attributes_json)), 'kb-api')")
+@query("SELECT id, (end_time_unix_nano - start_time_unix_nano) / 1e6::DOUBLE AS duration_ms FROM otel_spans WHERE lower(status_code) = 'error' AND end_time_unix_nano >= start_time_unix_nano AND (end_time_unix_nano - start_time_unix_nano) / 1e6::DOUBLE >= 10 AND contains(lower(concat_ws(chr(10), name, span_id, parent_span_id, attributes_json)), 'kb-api')")
 def span_filter(spark: SparkSession, folder: str) -> DataFrame:
     kept = t.filtered_spans(table(spark, folder, "otel_spans"), text="KB-api", errors_only=True, slow_ms=10)
     return kept.orderBy(F.desc_nulls_last("duration_ms"), "id").select("id", "duration_ms")
@@ -100,7 +100,7 @@ def span_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""
 WITH p AS (SELECT lower(name) AS label, (end_time_unix_nano - start_time_unix_nano) / 1e9::DOUBLE AS s FROM otel_spans WHERE end_time_unix_nano >= start_time_unix_nano),
-b AS (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in t.BUCKETS)}]) AS bound)
+b AS (SELECT unnest([0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60, 120, 300]::DOUBLE[]) AS bound)
 SELECT label, bound, count(*) FILTER (WHERE s <= bound) AS n FROM p, b GROUP BY ALL UNION ALL SELECT label, -1, count(*) FROM p GROUP BY label"""
 )
 def metrics_histogram(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,6 +197,6 @@ def refresh_cold_index(spark: SparkSession, folder: str) -> DataFrame:
     return tiering.refreshed(rows.withColumn("version", F.lit("old")), rows.withColumn("version", F.lit("new")), documents, gone, since)
 
 
-@query("SELECT 'All tags' AS name, count(DISTINCT name) AS tags FROM tags")
+@query("SELECT 'All tags' AS topic, count(DISTINCT name) AS tags FROM tags")
 def regroup_topics(spark: SparkSession, folder: str) -> DataFrame:
-    return c.regrouped_topics(table(spark, folder, "tags")).select("name", F.size("tag_names").cast("bigint").alias("tags"))
+    return c.regrouped_topics(table(spark, folder, "tags")).groupBy("topic").agg(F.count("*").alias("tags"))

@@ -1,7 +1,8 @@
 """Queries of search, fusion, funnel and merge over chapters and documents, with their SQL.
 
-The evaluation passages serve as questions; a share of common terms stands for a model's judgement. The SQL cuts the
-passages of searches and the contents that the funnel judges to 40 characters; the queries cut neither.
+The evaluation passages serve as questions, whole; a share of common terms stands for a model's judgement. The index
+holds the cold documents. As the tables store no chapters for these, their plain text is cut into the store's windows,
+which SQL can follow; ``cold_index_search`` searches chapters cut from their Markdown instead.
 """
 
 from __future__ import annotations
@@ -9,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.functions.vectors import hash_embedding
+from terrace.functions.markdown import Piece
+from terrace.functions.vectors import hash_counts
 from terrace.operators import retrieval as r
+from terrace.operators.chunking import last_by_path, split_chapters
 from terrace.operators.tiering import accessed
-from terrace.plans.catalogue import as_of
-from terrace.plans.lineage import written
+from terrace.plans.catalogue import as_of, sql_strip
+from terrace.plans.expressions import sql_prefix
+from terrace.plans.lineage import shared_folder, written
 from terrace.sources.tables import table
 
 QUERIES: dict = {}
@@ -53,9 +57,39 @@ def _chapters(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chapters", spread=True).select("id", "document_id", "path", F.coalesce("title", F.lit("")).alias("title"), "summary", F.coalesce("content", F.lit("")).alias("content"))
 
 
+def _one_piece(text: str | None, budget: int) -> list[Piece]:
+    return [Piece([], text, "")] if text and text.strip() else []
+
+
+_indexes: dict[tuple, DataFrame] = {}
+
+
+def _index(spark: SparkSession, folder: str, markdown: bool = False) -> DataFrame:
+    """``key, document_id, path, title, content, t, v``: the cold documents' chapters with their terms and hashed counts.
+
+    It is written once for a state of the table of documents and serves all searches of the session.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/documents.parquet")
+    state = at.getFileSystem(conf).getFileStatus(at)
+    name = (shared_folder(spark), folder, markdown, state.getModificationTime(), state.getLen())
+    if name not in _indexes:
+        cold = table(spark, folder, "documents", spread=True).filter("status = 'cold'")
+        cut = last_by_path(split_chapters(cold, "id", "title", "content")) if markdown else split_chapters(cold, "id", "title", "text", splitter=_one_piece)
+        rows = cut.select("document_id", "path", F.coalesce("title", F.lit("")).alias("title"), "content")
+        _indexes[name] = written(r.index_rows(rows, "path", ["title", "content"], "content"), "index")
+    return _indexes[name]
+
+
 _INPUT = rf"""
-WITH ask AS (SELECT item_id::VARCHAR AS question_id, unnest(list_distinct({sql_terms("left(passage, 40)")})) AS term FROM eval_items),
-c AS (SELECT id AS key, {sql_terms("coalesce(title, '') || ' ' || coalesce(content, '')")} AS t FROM chapters),
+WITH ask AS (SELECT item_id::VARCHAR AS question_id, unnest(list_distinct({sql_terms("passage")})) AS term FROM eval_items),
+w1 AS (SELECT id, coalesce(title, '') AS title, {sql_strip("coalesce(text, '')")} AS s FROM documents WHERE status = 'cold'),
+w2 AS (SELECT *, len(s) AS n, len(regexp_extract_all(s, '[\p{{Han}}\x{{3040}}-\x{{30FF}}\x{{AC00}}-\x{{D7AF}}\x{{3000}}-\x{{303F}}\x{{FF00}}-\x{{FFEF}}]')) AS h, translate({sql_strip("title")}, '/\', '--') AS part FROM w1),
+w3 AS (SELECT *, CASE WHEN h + ceil((n - h) / 4.0) <= 512 OR n <= 2048 THEN 1 ELSE 1 + ceil((n - 2048) / 400.0) END::INT AS windows FROM w2),
+w4 AS (SELECT *, unnest(range(1, windows + 1))::INT AS k FROM w3),
+cold AS (SELECT id AS document_id, title, {sql_strip("CASE WHEN windows = 1 THEN s ELSE substring(s, (k - 1) * 400 + 1, 2048) END")} AS content,
+         id || '/' || CASE WHEN windows > 1 THEN '__root__/' || k WHEN part = '' THEN 'body' ELSE {sql_prefix("part", 120)} END AS key FROM w4),
+c AS (SELECT key, {sql_terms("title || ' ' || content")} AS t FROM cold),
 n AS (SELECT key, len(t) AS length, t FROM c),
 e AS (SELECT count(*) AS rows, avg(length) AS usual FROM n),
 p AS (SELECT key, term, length, count(*) AS tf FROM (SELECT key, length, unnest(t) AS term FROM n) GROUP BY ALL),
@@ -78,10 +112,10 @@ def sql_hashed(rows: str) -> str:
 
 
 _VECTOR = (
-    ",\nqv AS " + sql_hashed("SELECT item_id::VARCHAR AS key, left(passage, 40) AS text FROM eval_items") + ",\ncv AS " + sql_hashed("SELECT id AS key, coalesce(content, '') AS text FROM chapters")
+    ",\nqv AS " + sql_hashed("SELECT item_id::VARCHAR AS key, passage AS text FROM eval_items") + ",\ncv AS " + sql_hashed("SELECT key, content AS text FROM cold")
     + """,
 dots AS (SELECT q.key AS question_id, c.key, sum(q.w * c.w) AS dot FROM qv q JOIN cv c USING (bucket) GROUP BY ALL),
-alls AS (SELECT i.item_id::VARCHAR AS question_id, c.id AS key, round(coalesce(d.dot, 0), 6) AS score FROM eval_items i CROSS JOIN chapters c LEFT JOIN dots d ON d.question_id = i.item_id::VARCHAR AND d.key = c.id),
+alls AS (SELECT i.item_id::VARCHAR AS question_id, c.key, round(coalesce(d.dot, 0), 6) AS score FROM eval_items i CROSS JOIN cold c LEFT JOIN dots d ON d.question_id = i.item_id::VARCHAR AND d.key = c.key),
 v AS (SELECT question_id, key, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS k FROM alls) WHERE k <= 20)"""
 )
 _FUSED = """,
@@ -93,17 +127,19 @@ h AS (SELECT question_id, key, score, source FROM (SELECT *, row_number() OVER (
 
 @query(_INPUT + " SELECT key, term, tf, length FROM p")
 def build_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return r.postings(_chapters(spark, folder), "id", "title", "content").select("key", "term", "tf", F.col("length").cast("bigint").alias("length"))
+    """Which terms stand how often in each chapter of the index."""
+    each = _index(spark, folder).select("key", F.size("t").cast("bigint").alias("length"), F.explode("t").alias("term"))
+    return each.groupBy("key", "term", "length").agg(F.count("*").alias("tf"))
 
 
 def _lexical(spark: SparkSession, folder: str, **options) -> DataFrame:
-    return r.lexical_search(_chapters(spark, folder), "id", ["title", "content"], _asked(spark, folder), **options)
+    index = _index(spark, folder)
+    return r.lexical_search(index, "key", ["title", "content"], _asked(spark, folder), index=index, **options)
 
 
 def _vector(spark: SparkSession, folder: str) -> DataFrame:
-    chapters = _chapters(spark, folder).select("id", hash_embedding(F.col("content")).alias("v"))
-    questions = _questions(spark, folder).select("question_id", hash_embedding(F.col("text")).alias("v"))
-    return r.vector_search(chapters, "id", "v", questions, "question_id", "v", k=20, dim=384, clamp=True)
+    questions = _questions(spark, folder).select("question_id", hash_counts(F.col("text")).alias("v"))
+    return r.vector_search(_index(spark, folder), "key", "v", questions, "question_id", "v", k=20, dim=384, clamp=True)
 
 
 @query(_LEXICAL + " SELECT question_id, key, score FROM l")
@@ -168,102 +204,122 @@ QUERIES["topk_fused"], ORACLE["topk_fused"] = (lambda s, d: r.ranked(_hybrid(s,
 
 
 def _cold_hits(spark: SparkSession, folder: str) -> DataFrame:
-    stored = _chapters(spark, folder).select(F.col("id").alias("key"), "document_id", "path", "title")
-    return _hybrid(spark, folder).join(stored, "key").select("question_id", "key", "document_id", "path", "title", "score", "source")
+    stored = _index(spark, folder).select("key", "document_id", "path", "title", "content")
+    return stored.join(_hybrid(spark, folder), "key").select("question_id", "key", "document_id", "path", "title", "content", "score", "source")
 
 
-@query(_LEXICAL + _VECTOR + _FUSED + " SELECT h.question_id, c.document_id, c.path, coalesce(c.title, '') AS title, h.score FROM h JOIN chapters c ON c.id = h.key")
+@query(_LEXICAL + _VECTOR + _FUSED + " SELECT h.question_id, c.document_id, c.key AS path, c.title, md5(c.content) AS content_md5, h.score FROM h JOIN cold c USING (key)")
 def chapter_hits(spark: SparkSession, folder: str) -> DataFrame:
-    return _cold_hits(spark, folder).select("question_id", "document_id", "path", "title", "score")
+    """The hits of hybrid search with what they show; of the content a hash, to be compared."""
+    return _cold_hits(spark, folder).select("question_id", "document_id", "path", "title", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), "score")
 
 
-@query(_LEXICAL + " SELECT l.question_id, c.id, c.document_id FROM l JOIN chapters c ON c.id = l.key")
+@query(_LEXICAL + " SELECT l.question_id, c.key AS path, c.document_id, len(c.content)::INT AS characters FROM l JOIN cold c USING (key)")
 def join_hits_chapters(spark: SparkSession, folder: str) -> DataFrame:
-    chapters = _chapters(spark, folder).select("id", "document_id")
-    return _lexical(spark, folder).join(chapters, F.col("key") == F.col("id")).select("question_id", "id", "document_id")
+    """Lexical hits joined to their chapters."""
+    chapters = _index(spark, folder).select("key", "path", "document_id", F.char_length("content").alias("characters"))
+    return chapters.join(_lexical(spark, folder), "key").select("question_id", "path", "document_id", "characters")
+
+
+@query()
+def cold_index_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search over the chapters that ``cold_load`` cuts from the Markdown of cold documents."""
+    index = _index(spark, folder, markdown=True)
+    lexical = r.lexical_search(index, "key", ["title", "content"], _asked(spark, folder), index=index)
+    questions = _questions(spark, folder).select("question_id", hash_counts(F.col("text")).alias("v"))
+    vector = r.vector_search(index, "key", "v", questions, "question_id", "v", k=20, dim=384, clamp=True)
+    return index.select("key", "document_id", "path", "title", "content").join(r.fused(lexical, vector, K), "key").select("question_id", "document_id", "path", "title", "content", "score", "source")
 
 
 # Funnel -------------------------------------------------------------------------------------------------------
 
 
-def _whole_asked(spark: SparkSession, folder: str) -> DataFrame:
-    return r.question_terms(table(spark, folder, "eval_items"), "item_id", "passage")
+def _catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """``name, topic_id``: the stored tags and, without topic, those that documents bear."""
+    stored = table(spark, folder, "tags").select("name", "topic_id")
+    borne = table(spark, folder, "documents").select(F.explode("tags").alias("name")).distinct()
+    return stored.unionByName(borne.join(stored, "name", "left_anti").withColumn("topic_id", F.lit(None).cast("string"))).filter("trim(name) <> ''")
+
+
+def _tag_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return r.overlap_scores(_asked(spark, folder), _catalogue(spark, folder).select("name").distinct(), "name", F.col("name"))
 
 
-def _scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    asked = written(_whole_asked(spark, folder), "asked")
-    tags = table(spark, folder, "documents").select(F.explode(F.array_distinct("tags")).alias("name")).distinct().filter("trim(name) <> ''")
-    live = table(spark, folder, "documents").filter("status IN ('hot', 'warming')")
+def _document_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return r.overlap_scores(_asked(spark, folder), table(spark, folder, "documents").filter("status IN ('hot', 'warming')"), "id", F.col("title"))
+
+
+def _chapter_scores(spark: SparkSession, folder: str) -> DataFrame:
     body = F.coalesce(F.when(F.trim("summary") != "", F.col("summary")), F.col("content"))
-    return (
-        r.overlap_scores(asked, tags, "name", F.col("name")),
-        r.overlap_scores(asked, live, "id", F.col("title")),
-        r.held_scores(asked, _chapters(spark, folder), "id", body),
-    )
+    return r.held_scores(_asked(spark, folder), _chapters(spark, folder), "id", body)
 
 
 def sql_overlap(rows: str) -> str:
     return f"(SELECT question_id, key, round(count(*) / n::DOUBLE, 6) AS score FROM (SELECT key, len(t) AS n, unnest(t) AS term FROM (SELECT key, list_distinct({sql_terms('text')}) AS t FROM ({rows}))) JOIN ask USING (term) GROUP BY question_id, key, n)"
 
 
+_BODY = "coalesce(CASE WHEN trim(summary) <> '' THEN summary END, content, '')"
 _SCORES = (
     f"WITH ask AS (SELECT item_id::VARCHAR AS question_id, unnest(list_distinct({sql_terms('passage')})) AS term FROM eval_items),\n"
-    "names AS (SELECT DISTINCT name FROM (SELECT unnest(tags) AS name FROM documents) WHERE trim(name) <> ''),\n"
+    "names AS (SELECT DISTINCT name FROM (SELECT unnest(tags) AS name FROM documents UNION ALL SELECT name FROM tags) WHERE trim(name) <> ''),\n"
     f"ts AS {sql_overlap('SELECT name AS key, name AS text FROM names')},\n"
+    f"tp AS (SELECT question_id, key FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS k FROM {sql_overlap('SELECT id AS key, name AS text FROM topics')} WHERE score >= 0.5) WHERE k <= 3),\n"
+    "rt AS (SELECT question_id, key, score FROM ts WHERE score >= 0.5 AND ((SELECT count(*) FROM names) < 200 OR (question_id, key) IN (SELECT tp.question_id, g.name FROM tp JOIN tags g ON g.topic_id = tp.key))),\n"
     f"ds AS {sql_overlap("SELECT id AS key, coalesce(title, '') AS text FROM documents WHERE status IN ('hot', 'warming')")},\n"
-    f"cs AS {sql_overlap("SELECT id AS key, left(coalesce(content, ''), 40) AS text FROM chapters")}"
+    "asked AS (SELECT question_id, count(*) AS n FROM ask GROUP BY question_id),\n"
+    f"cs AS (SELECT question_id, key, round(count(*) / max(n)::DOUBLE, 6) AS score FROM (SELECT id AS key, unnest(list_distinct({sql_terms(_BODY)})) AS term FROM chapters) JOIN ask USING (term) JOIN asked USING (question_id) GROUP BY question_id, key)"
 )
-_FUNNEL = """,
-reached AS (SELECT DISTINCT ts.question_id, x.id AS document_id FROM ts JOIN (SELECT id, unnest(tags) AS tag FROM documents WHERE status IN ('hot', 'warming')) x ON x.tag = ts.key WHERE ts.score >= 0.5),
+_FUNNEL = f""",
+reached AS (SELECT DISTINCT rt.question_id, x.id AS document_id FROM rt JOIN (SELECT id, unnest(tags) AS tag FROM documents WHERE status IN ('hot', 'warming')) x ON x.tag = rt.key),
 wanted AS (SELECT r.* FROM reached r JOIN ds ON ds.question_id = r.question_id AND ds.key = r.document_id WHERE ds.score >= 0.5),
-b AS (SELECT w.question_id, c.document_id, c.path, max(cs.score) AS score FROM cs JOIN chapters c ON c.id = cs.key JOIN wanted w ON w.question_id = cs.question_id AND w.document_id = c.document_id
-      WHERE cs.score >= 0.5 AND trim(coalesce(CASE WHEN trim(c.summary) <> '' THEN c.summary END, c.content, '')) <> '' GROUP BY ALL),
-hot AS (SELECT question_id, document_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id || '/' || path) AS k FROM b) WHERE k <= 50)"""
+told AS (SELECT id, document_id, path, coalesce(title, '') AS title, trim({_BODY}) AS body FROM chapters WHERE trim({_BODY}) <> ''),
+b AS (SELECT w.question_id, c.document_id, c.path, max(cs.score) AS score, arg_min((c.title, c.body), (-cs.score, c.id)) AS told FROM cs JOIN told c ON c.id = cs.key JOIN wanted w ON w.question_id = cs.question_id AND w.document_id = c.document_id
+      WHERE cs.score >= 0.5 GROUP BY ALL),
+hot AS (SELECT question_id, document_id, path, score, told[1] AS title, told[2] AS content FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id || '/' || path) AS k FROM b) WHERE k <= 50)"""
 
 
 @query(_SCORES + " SELECT question_id, key, score FROM ts WHERE score >= 0.5")
 def relevance_cut(spark: SparkSession, folder: str) -> DataFrame:
-    return r.relevant(_scores(spark, folder)[0])
+    return r.relevant(_tag_scores(spark, folder))
 
 
 @query(_SCORES + " SELECT ds.question_id, d.id, d.title, ds.score FROM ds JOIN documents d ON d.id = ds.key WHERE ds.score >= 0.5")
 def join_scores_docs(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("id", "title")
-    return r.relevant(_scores(spark, folder)[1]).join(documents, F.col("key") == F.col("id")).select("question_id", "id", "title", "score")
+    return r.relevant(_document_scores(spark, folder)).join(documents, F.col("key") == F.col("id")).select("question_id", "id", "title", "score")
 
 
 @query(_SCORES + " SELECT cs.question_id, c.id, c.path, cs.score FROM cs JOIN chapters c ON c.id = cs.key WHERE cs.score >= 0.5")
 def join_scores_chapters(spark: SparkSession, folder: str) -> DataFrame:
     chapters = _chapters(spark, folder).select("id", "path")
-    return r.relevant(_scores(spark, folder)[2]).join(chapters, F.col("key") == F.col("id")).select("question_id", "id", "path", "score")
+    return r.relevant(_chapter_scores(spark, folder)).join(chapters, F.col("key") == F.col("id")).select("question_id", "id", "path", "score")
 
 
 
-@query(_SCORES + f", tp AS {sql_overlap("SELECT id AS key, name AS text FROM topics")} SELECT question_id, key, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS k FROM tp WHERE score >= 0.5) WHERE k <= 3")
+@query(_SCORES + f" SELECT question_id, key, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS k FROM {sql_overlap('SELECT id AS key, name AS text FROM topics')} WHERE score >= 0.5) WHERE k <= 3")
 def topk_topics(spark: SparkSession, folder: str) -> DataFrame:
     topics = table(spark, folder, "topics")
-    return r.ranked(r.relevant(r.overlap_scores(_whole_asked(spark, folder), topics, "id", F.col("name"))), 3).drop("rank")
+    return r.ranked(r.relevant(r.overlap_scores(_asked(spark, folder), topics, "id", F.col("name"))), 3).drop("rank")
+
+
+def _routed(spark: SparkSession, folder: str) -> DataFrame:
+    return r.routed_tags(_asked(spark, folder), _catalogue(spark, folder), table(spark, folder, "topics"))
 
 
-@query(_SCORES + ", m AS (SELECT count(*) AS n FROM names), kept AS (SELECT DISTINCT question_id, key FROM ts WHERE score >= 0.5) SELECT k.question_id, k.key FROM kept k, m WHERE m.n < 200 OR k.key IN (SELECT unnest(tag_names) FROM topics WHERE name <> 'All tags')")
+@query(_SCORES + " SELECT question_id, key FROM rt")
 def adaptive_tag_route(spark: SparkSession, folder: str) -> DataFrame:
-    """With fewer than 200 tags all are judged, else those that a topic other than the catch-all lists."""
-    scores = r.relevant(_scores(spark, folder)[0]).select("question_id", "key").distinct()
-    names = table(spark, folder, "documents").select(F.explode("tags").alias("name")).filter("trim(name) <> ''").distinct()
-    if names.count() < 200:
-        return scores
-    listed = table(spark, folder, "topics").filter("name <> 'All tags'").select(F.explode("tag_names").alias("key")).distinct()
-    return scores.join(listed, "key", "left_semi").select("question_id", "key")
+    """With fewer than 200 tags all are judged, else those that point to one of the three topics most relevant to the question."""
+    return _routed(spark, folder).select("question_id", "key")
 
 
-def _funnel(spark: SparkSession, folder: str) -> DataFrame:
-    tags, docs, chapters = _scores(spark, folder)
-    return r.hot_funnel(tags, table(spark, folder, "documents"), docs, _chapters(spark, folder), chapters)
+def _funnel(spark: SparkSession, folder: str, tags: DataFrame | None = None) -> DataFrame:
+    return r.hot_funnel(_routed(spark, folder) if tags is None else tags, table(spark, folder, "documents"), _document_scores(spark, folder), _chapters(spark, folder), _chapter_scores(spark, folder))
 
 
-@query(_SCORES + _FUNNEL + " SELECT h.question_id, h.document_id, h.path, h.score, d.status, d.query_count::INT AS query_count FROM hot h JOIN documents d ON d.id = h.document_id")
+@query(_SCORES + _FUNNEL + " SELECT h.question_id, h.document_id, h.path, h.title, md5(h.content) AS content_md5, h.score, d.status, d.query_count::INT AS query_count FROM hot h JOIN documents d ON d.id = h.document_id")
 def hot_funnel(spark: SparkSession, folder: str) -> DataFrame:
-    return _funnel(spark, folder)
+    """The funnel's hits with what they show; of the content a hash, to be compared."""
+    return _funnel(spark, folder).withColumn("content_md5", F.md5(F.encode("content", "UTF-8"))).drop("content")
 
 
 def _progressive(spark: SparkSession, folder: str) -> DataFrame:
@@ -271,11 +327,11 @@ def _progressive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _MERGED = (
-    _LEXICAL + _VECTOR + _FUSED + _SCORES.replace("WITH ask AS", ",\nask2 AS").replace("JOIN ask USING", "JOIN ask2 USING") + _FUNNEL
+    _LEXICAL + _VECTOR + _FUSED + _SCORES.replace("WITH ask AS", ",\nask2 AS") + _FUNNEL
     + """,
-cold AS (SELECT h.question_id, c.document_id, c.path, h.score FROM h JOIN chapters c ON c.id = h.key),
+far AS (SELECT h.question_id, c.document_id, c.key AS path, h.score FROM h JOIN cold c USING (key)),
 u AS (SELECT question_id, document_id, path, score, 'hot_progressive' AS source FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id || '/' || path) AS k FROM hot) WHERE k <= 7
-      UNION ALL SELECT question_id, document_id, path, score, 'cold_index' FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id || '/' || path) AS k FROM cold) WHERE k <= 7),
+      UNION ALL SELECT question_id, document_id, path, score, 'cold_index' FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id || '/' || path) AS k FROM far) WHERE k <= 7),
 best AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY question_id, document_id, path ORDER BY score DESC, source DESC) AS k FROM u) WHERE k = 1),
 merged AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id || '/' || path) AS k FROM best) WHERE k <= 15)"""
 )

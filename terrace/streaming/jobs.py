@@ -1,18 +1,14 @@
-"""The running side of the store: spans as they arrive, the index as documents change, calls as they come."""
+"""The running side of the store: spans as they arrive, the index as documents change, calls counted as they come."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from terrace.operators.chunking import last_by_path, split_chapters
-from terrace.operators.rates import admit
 from terrace.sources.tables import table
 
 
@@ -55,29 +51,6 @@ def calls_in_windows(calls: DataFrame, time_col: str, key_col: str, width: str =
     return stamped.groupBy(F.window("at", width), F.col(key_col).alias("key")).agg(F.count("*").alias("calls")).select(F.col("window.start").alias("start"), "key", "calls")
 
 
-def limited_calls(calls: DataFrame, id_col: str, key_col: str, time_col: str, *, capacity: float = 5, rate: float = 0.2, idle: float = 1800, late: str = "1 hour") -> DataFrame:
-    """``id, key, admitted`` for each arriving call; a key's bucket is its state, dropped when idle in event time.
-
-    Calls of a key are taken in the order of time within what a batch brings; calls that come more than ``late`` after
-    the newest are left out.
-    """
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        level, last = state.get if state.exists else (capacity, float("-inf"))
-        pdf = pd.concat(parts).sort_values(["at", "id"])  # a key's calls of one batch
-        admitted, level, last = admit(pdf["at"].to_numpy(), level, last, capacity, rate, idle)
-        yield pd.DataFrame({"id": pdf["id"].to_numpy(), "key": key[0], "admitted": admitted})
-        state.update((level, last))
-        state.setTimeoutTimestamp(int((last + idle) * 1000))
-
-    source = calls.select(F.col(id_col).cast("bigint").alias("id"), F.col(key_col).cast("string").alias("key"), F.col(time_col).cast("timestamp").alias("stamp")).filter("key IS NOT NULL AND stamp IS NOT NULL")
-    source = source.withWatermark("stamp", late).withColumn("at", F.unix_micros("stamp") / 1e6)
-    return source.groupBy("key").applyInPandasWithState(run, "id bigint, key string, admitted boolean", "level double, last double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def follow_documents(documents: DataFrame, index_path: str, checkpoint: str, *, status: str = "cold") -> StreamingQuery:
     """Keeps a table of chapters that follows changed documents: each batch cuts its documents anew.
 

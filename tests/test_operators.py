@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from terrace.operators import catalog as c
 from terrace.operators import retrieval as r
-from terrace.operators.rates import rate_limited
 from terrace.operators.tiering import accessed, changed_since, rescored
-from terrace.operators.traces import histogram, trace_summaries
+from terrace.operators.traces import filtered_spans, histogram, trace_summaries
 
 HITS = "question_id string, document_id string, path string, score double"
 
@@ -34,6 +33,8 @@ def test_vector_search_leaves_out_what_is_no_vector(spark):
     df = spark.createDataFrame(rows, "key string, v array<double>")
     got = r.vector_search(df, "key", "v", df.filter("key IN ('a', 'd')"), "key", "v", k=2, dim=2, skip_self=True).orderBy("score").collect()
     assert [(x.question_id, x.key, x.score) for x in got] == [("a", "f", 0.0), ("a", "e", 1.0)]
+    small = r.vector_search(df, "key", "v", df.filter("key IN ('a', 'e')"), "key", "v", k=1, dim=2, skip_self=True, block_mb=0.00001).collect()
+    assert {(x.question_id, x.key) for x in small} == {("a", "e"), ("e", "a")}
     assert r.vector_search(df.limit(0), "key", "v", df, "key", "v", dim=2).collect() == []
     assert r.vector_search(df, "key", "v", df.limit(0), "key", "v", dim=2).collect() == []
 
@@ -42,15 +43,39 @@ def test_lexical_search(spark):
     rows = spark.createDataFrame([("a", "alpha beta beta"), ("b", "beta"), ("c", None), ("d", "")], "key string, t string")
     asked = r.question_terms(spark.createDataFrame([("q", "BETA beta"), ("n", None)], "id string, t string"), "id", "t")
     assert [x.key for x in r.lexical_search(rows, "key", ["t"], asked).orderBy(F.desc("score")).collect()] == ["b", "a"]
-    assert r.lexical_search(rows.limit(0), "key", ["t"], asked).collect() == []
+    assert r.lexical_search(rows.limit(0), "key", ["t"], asked).collect() == [] and r.lexical_search(rows, "key", ["t"], asked.limit(0)).collect() == []
+
+
+def test_scores_in_blocks_and_by_hand(spark):
+    from math import log
+
+    texts = {"a": "x y y z", "b": "x", "c": "y " * 50, "d": None, "e": "w"}
+    rows = spark.createDataFrame(list(texts.items()), "key string, t string")
+    asked = [("q", "x"), ("q", "y"), ("p", "z"), ("p", "v"), ("o", "w")]
+    questions = spark.createDataFrame(asked, "question_id string, term string")
+    split = {k: (t or "").split() for k, t in texts.items()}
+    usual = sum(map(len, split.values())) / len(split)
+    want = {"bm25": {}, "tfidf": {}}
+    for q, term in asked:
+        df = sum(term in t for t in split.values())
+        for k, t in split.items():
+            if n := t.count(term):
+                part = log(1 + (5 - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(t) / usual)), n**0.5 * (1 + log(5 / (df + 1))) ** 2 / len(t) ** 0.5
+                for name, x in zip(want, part):
+                    want[name][q, k] = want[name].get((q, k), 0) + x
+    for scoring in want:
+        for options in ({}, {"block": 1}, {"block_terms": 2}):
+            got = {(x.question_id, x.key): x.score for x in r.lexical_search(rows, "key", ["t"], questions, scoring=scoring, **options).collect()}
+            assert got == {k: round(x, 6) for k, x in want[scoring].items()}
+    assert {(x.question_id, x.key) for x in r.lexical_search(rows, "key", ["t"], questions, k=1).collect()} == {max((score, k) for k, score in want["bm25"].items() if k[0] == q)[1] for q in "qpo"}
 
 
 def test_funnel_cuts_at_every_stage(spark):
     docs = spark.createDataFrame([("d1", "hot", 1, ["x"]), ("d2", "cold", 1, ["x"]), ("d3", "warming", 1, ["y"]), ("d4", "hot", 1, None)], "id string, status string, query_count int, tags array<string>")
-    chapters = spark.createDataFrame([("c1", "d1", "p", "s", ""), ("c2", "d2", "p", "s", ""), ("c3", "d3", "p", "s", ""), ("c4", "d1", "q", " ", " "), ("c5", "d1", "p", None, "text")], "id string, document_id string, path string, summary string, content string")
+    chapters = spark.createDataFrame([("c1", "d1", "p", "s", ""), ("c2", "d2", "p", "s", ""), ("c3", "d3", "p", "s", ""), ("c4", "d1", "q", " ", " "), ("c5", "d1", "p", None, " text")], "id string, document_id string, path string, summary string, content string").withColumn("title", F.lit("T"))
     score = lambda *rows: spark.createDataFrame([("q", *x) for x in rows], "question_id string, key string, score double")
     got = r.hot_funnel(score(("x", 0.5), ("y", 0.49)), docs, score(("d1", 1.0), ("d2", 1.0), ("d3", 1.0)), chapters, score(*[(f"c{k}", 0.5 + k / 10) for k in range(1, 6)])).collect()
-    assert [(x.document_id, x.path, round(x.score, 6)) for x in got] == [("d1", "p", 1.0)]
+    assert [(x.document_id, x.path, x.title, x.content, round(x.score, 6)) for x in got] == [("d1", "p", "T", "text", 1.0)]
 
 
 def test_snapshots(spark):
@@ -66,6 +91,22 @@ def test_snapshots(spark):
     assert c.chapters_of(spark.createDataFrame([], "id string, document_id string, path string, title string, created_at timestamp"), spark.createDataFrame([("d",)], "id string")).first().chapters == []
 
 
+def test_topics_and_their_tags(spark):
+    tags = spark.createDataFrame([("1", "red", "t"), ("2", "blue", "u"), ("3", "red", "t"), ("4", None, None)], "id string, name string, topic_id string")
+    topics = spark.createDataFrame([("t", ["blue"])], "id string, tag_names array<string>")
+    assert {tuple(x) for x in c.distinct_tags_of(tags, topics).collect()} == {("1", "red"), ("3", "red")}
+    assert {tuple(x) for x in c.regrouped_topics(tags).collect()} == {("All tags", "red"), ("All tags", "blue")}
+
+
+def test_routes_of_tags(spark):
+    asked = spark.createDataFrame([("q", x) for x in ("law", "court", "red")] + [("z", "red")], "question_id string, term string")
+    tags = spark.createDataFrame([("court", "t1"), ("red", "t2"), ("court", None), ("other", "t1")], "name string, topic_id string")
+    topics = spark.createDataFrame([("t1", "Law"), ("t2", "Paint"), ("t3", "Law"), ("t4", "law law")], "id string, name string")
+    routed = lambda **o: {(x.question_id, x.key) for x in r.routed_tags(asked, tags, topics, **o).collect()}
+    assert routed() == {("q", "court"), ("q", "red"), ("z", "red")}
+    assert routed(threshold=3) == {("q", "court")} and routed(threshold=3, most_topics=0) == set()
+
+
 def test_navigation(spark):
     nodes = {x.node: x for x in c.navigation(spark.createDataFrame([("a/b",), ("a//b/c",), ("/x",), (None,), ("",)], "path string")).collect()}
     assert set(nodes) == {"a", "a/b", "a/b/c", "x"} and nodes["a/b"].path and not nodes["a/b"].leaf and nodes["a/b/c"].leaf and nodes["a"].parent is None
@@ -77,17 +118,14 @@ def test_trace_summaries(spark):
     got = trace_summaries(spans).collect()
     assert [(x.trace_id, x.started, x.ended, x.spans, x.errors, x.root_name) for x in got] == [("t", 0, 20, 3, 1, "first")]
     assert trace_summaries(spans.limit(0)).collect() == []
+    served = spans.withColumn("attributes_json", F.when(F.col("span_id") != "c", F.lit('{"rows":1,"service.name":"kb-api"}')).otherwise('{"note":"kb-api"}'))
+    assert [(x.trace_id, x.started, x.spans) for x in trace_summaries(served, " kb-api ").collect()] == [("t", 1, 2)] and trace_summaries(served, "kb").collect() == []
+    found = lambda text: {x.span_id for x in filtered_spans(spans, text=text).collect()}
+    assert found("A") == {"a", "c"} and found("GONE") == {"d"} and found("zzz") == set()
     counted = histogram(spans, "trace_id", F.lit(0.2)).filter("bound IS NULL OR bound = 0.1 OR bound = 0.25").filter("label = 't'").orderBy("bound").collect()
     assert [(x.bound, x.n) for x in counted] == [(None, 3), (0.1, 0), (0.25, 3)]
 
 
-def test_rate_limits(spark):
-    calls = [(k, "hot", k * 1.0) for k in range(10)] + [(100, "hot", 60.0), (101, "idle", 0.0), (102, None, 1.0), (103, "x", None)]
-    df = spark.createDataFrame([(i, k, s, "clash") for i, k, s in calls], "id bigint, who string, s double, key string").withColumn("ts", F.timestamp_seconds("s"))
-    got = {x.id: x.admitted for x in rate_limited(df, "id", "who", "ts").collect()}
-    assert [got[k] for k in range(10)] == [True] * 6 + [False] * 4 and got[100] and got[101] and set(got) == {*range(10), 100, 101}
-
-
 BLOCKED = """
 import sys
 class Missing:

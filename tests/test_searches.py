@@ -3,13 +3,16 @@ from pyspark.sql import functions as F
 from terrace.operators import retrieval as r
 from terrace.plans import searches
 
-FAR = "plain opening words that say nothing at all about it, "  # more than 40 characters
+FAR = "plain opening words that say nothing at all about it, "
 
 
 def store(spark, folder):
     make = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
     make("eval_items", [(1, FAR + "zebra quagga okapi"), (2, "tapir")], "item_id bigint, passage string")
-    make("documents", [("d", "opening words", "hot", ["words"], 0)], "id string, title string, status string, tags array<string>, query_count int")
+    cold = [("e1", "Far", "cold", None, 0, "x" * 50 + " " + FAR), ("e2", None, "cold", None, 0, "y" * 3000 + " okapi quagga"), ("e3", "okapi", "COLD", None, 0, "okapi"), ("e4", "/", "cold", None, 0, None)]
+    make("documents", [("d", "opening words", "hot", ["words"], 0, "zebra okapi"), *cold], "id string, title string, status string, tags array<string>, query_count int, text string")
+    make("tags", [], "name string, topic_id string")
+    make("topics", [], "id string, name string")
     chapters = [("c1", "d", "far", None, None, "x" * 50 + " " + FAR), ("c2", "d", "summary", None, FAR + "zebra", "none"), ("c3", "d", "beast", None, " ", "y" * 50 + " okapi quagga"), ("c4", "d", "other", None, "nothing", FAR)]
     make("chapters", chapters, "id string, document_id string, path string, title string, summary string, content string")
     return str(folder)
@@ -18,7 +21,9 @@ def store(spark, folder):
 def test_whole_passages_are_asked_and_whole_chapters_judged(spark, tmp_path):
     folder = store(spark, tmp_path)
     hits = {(x.question_id, x.key) for x in searches.lexical_search(spark, folder).collect()}
-    assert ("1", "c3") in hits and not any(q == "2" for q, _ in hits)
+    assert hits == {("1", "e1/Far"), *[("1", f"e2/__root__/{k}") for k in (4,)]}  # no hot document, no other question
+    shown = {(x.question_id, x.path, x.title) for x in searches.chapter_hits(spark, folder).collect()}
+    assert ("1", "e2/__root__/4", "") in shown and ("2", "e4/-", "/") in shown
     judged = {(x.question_id, x.id): x.score for x in searches.join_scores_chapters(spark, folder).collect()}
     n = len((FAR + "zebra quagga okapi").replace(",", "").split())
     assert judged == {("1", "c1"): round((n - 3) / n, 6), ("1", "c2"): round((n - 2) / n, 6)}

@@ -20,3 +20,15 @@ def test_written_tables_cut_lineage_and_can_be_dropped(spark):
     files = df.inputFiles()
     dropped(df)
     assert files and written(spark.range(0), "none").count() == 0
+
+
+def test_tables_of_few_row_groups_are_dealt_out(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = pa.table({"x": list(range(1000))})
+    pq.write_table(rows, f"{tmp_path}/few.parquet")
+    pq.write_table(rows, f"{tmp_path}/many.parquet", row_group_size=100)
+    spark.range(3).write.parquet(f"{tmp_path}/files.parquet")
+    spread = {n: "REPARTITION" in table(spark, str(tmp_path), n, spread=True)._jdf.queryExecution().executedPlan().toString() for n in ("few", "many", "files")}
+    assert spread == {"few": True, "many": False, "files": False} and table(spark, str(tmp_path), "few", spread=True).count() == 1000
