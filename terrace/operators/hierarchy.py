@@ -3,12 +3,13 @@
 Subtree sizes are computed upwards; then every node hands its children, in the order of their ids, successive ranges
 of preorder numbers, so that prefix sums of sizes downwards give each node the range ``first .. first + size - 1`` of
 its subtree within its root's tree. A node's ancestors are the nodes of its tree whose ranges hold its number, its
-descendants those whose numbers its range holds. Nodes that the way up leaves unfinished lie on cycles.
+descendants those whose numbers its range holds: its root is the one root's range that holds it, its depth the number
+of ranges that do. Nodes that the passes leave unfinished lie on cycles or hang from them.
 
 Groups of at most ``small_rows`` rows (traces, mostly) are worked off in tasks, many groups together, level by level.
 Larger groups are first divided into their trees: every node looks for its root in steps of doubled length, so that the
 number of rounds grows with the logarithm of the depth, not with the depth. Trees that are larger still are worked off
-as joins over all executors, both passes in steps of doubled length too.
+as joins over all executors, both passes in steps of doubled length too. All ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from terrace.plans.lineage import dropped, written
 
 NODES = "grp string, node string, parent string, root string, depth bigint, size bigint, first bigint, cyclic boolean, path string"
-PARTS = 64
+BLOCK = 4096
 
 
 # Groups of bounded size, inside tasks --------------------------------------------------------------------------
@@ -46,34 +47,45 @@ def solve(parent: np.ndarray, name: np.ndarray, paths: bool) -> dict[str, np.nda
         ready = above[(waiting[above] == 0) & ~done[above]]
     cyclic = ~done
 
-    children = np.flatnonzero(has & done)
+    # downwards: the roots, then each node's children, share out successive ranges in the order of the rows
+    tops, children = np.flatnonzero(~has), np.flatnonzero(has & done)
     children = children[np.argsort(parent[children], kind="stable")]
     of = parent[children]
     before = np.cumsum(size[children]) - size[children]
     start = np.searchsorted(of, of)
     offset = np.zeros(n, np.int64)
     offset[children] = 1 + before - before[start] if len(children) else 0  # sizes of the earlier siblings
-
-    root, depth, first = np.full(n, -1), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    tops = np.flatnonzero(~has)
-    root[tops], depth[tops], first[tops] = tops, 0, 0
-    for ring in _cycles(parent, np.flatnonzero(cyclic)):
-        root[ring] = min(ring.tolist(), key=name.__getitem__)
+    place = np.full(n, -1, np.int64)
+    place[tops] = np.cumsum(size[tops]) - size[tops]
     begin, end = np.searchsorted(of, np.arange(n), "left"), np.searchsorted(of, np.arange(n), "right")
+
+    def below(level: np.ndarray) -> np.ndarray:
+        counts = end[level] - begin[level]
+        return children[np.repeat(begin[level], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
+
     path = np.full(n, None, object)
     path[tops] = name[tops]
-    level = np.concatenate([tops, np.flatnonzero(cyclic)])
-    while len(level):  # downwards
-        counts = end[level] - begin[level]
-        below = children[np.repeat(begin[level], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-        up = parent[below]
-        root[below] = root[up]
-        in_tree = depth[up] >= 0
-        depth[below[in_tree]] = depth[up[in_tree]] + 1
-        first[below[in_tree]] = first[up[in_tree]] + offset[below[in_tree]]
+    level = below(tops)
+    while len(level):
+        place[level] = place[parent[level]] + offset[level]
         if paths:
-            path[below[in_tree]] = path[up[in_tree]] + "/" + name[below[in_tree]]
-        level = below
+            path[level] = path[parent[level]] + "/" + name[level]
+        level = below(level)
+
+    # ancestors by ranges: every node before a number has opened its range, and those that ended there don't hold it
+    root, depth, first = np.full(n, -1), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    inside = np.flatnonzero(place >= 0)
+    at = place[inside]
+    depth[inside] = at - np.searchsorted(np.sort(at + size[inside]), at, "right")
+    root[inside] = tops[np.searchsorted(place[tops], at, "right") - 1]
+    first[inside] = at - place[root[inside]]
+
+    for ring in _cycles(parent, np.flatnonzero(cyclic)):
+        root[ring] = min(ring.tolist(), key=name.__getitem__)
+    level = below(np.flatnonzero(cyclic))  # what hangs from cycles
+    while len(level):
+        root[level] = root[parent[level]]
+        level = below(level)
     return {"path": path if paths else np.full(n, None, object), "root": root, "depth": depth, "size": np.where(depth >= 0, size, -1), "first": first, "cyclic": cyclic}
 
 
@@ -92,7 +104,7 @@ def _cycles(parent: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
 
 def _bundles(paths: bool):
     def bundle(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("grp", "ascending"), ("part", "ascending"), ("node", "ascending"), ("parent", "ascending")])
+        table = table.sort_by([("grp", "ascending"), ("node", "ascending"), ("parent", "ascending")])
         group, name = table["grp"].combine_chunks().dictionary_encode().indices.to_numpy(), table["node"].to_numpy()
         again = np.r_[False, (group[1:] == group[:-1]) & (name[1:] == name[:-1])]
         if again.any():  # given with several parents: the smallest counts
@@ -115,16 +127,19 @@ def _units(links: DataFrame) -> DataFrame:
     """``links`` with ``unit``: the root of each node's tree, or null for nodes whose chain runs into a cycle.
 
     After round ``k`` a node knows the node 2^k steps above it, unless its chain ends before. As long as a chain is
-    still to end, some chain ends in the next round; so when a round ends none, the rest run into cycles.
+    still to end, some chain ends in the next round; so when a round ends none, the rest are unfinished for good: they
+    run into cycles. A child of a root knows its root from the start, so that no round joins on a root.
     """
-    known = written(links.select("grp", "node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("node")).alias("unit")), "up")
-    left = known.filter("up IS NOT NULL").count()
+    unit = F.when(F.col("parent").isNull(), F.col("node")).when(F.col("top"), F.col("parent"))
+    known = written(links.select("grp", "node", F.col("parent").alias("up"), unit.alias("unit")), "up")
+    left = known.filter("unit IS NULL").count()
     while left:
-        target = known.select("grp", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("unit").alias("unit2"))
-        step = known.join(target, ["grp", "up"], "left").select("grp", "node", F.col("up2").alias("up"), F.coalesce("unit", "unit2").alias("unit"))
-        known, old = written(step, "up"), known
+        active, ended = known.filter("unit IS NULL").drop("unit"), known.filter("unit IS NOT NULL")
+        target = known.select("grp", F.col("node").alias("up"), F.col("up").alias("up2"), "unit")
+        step = active.join(target, ["grp", "up"]).select("grp", "node", F.col("up2").alias("up"), "unit")
+        known, old = written(step.unionByName(ended), "up"), known
         dropped(old)
-        now = known.filter("up IS NOT NULL").count()
+        now = known.filter("unit IS NULL").count()
         if now == left:
             break
         left = now
@@ -135,44 +150,77 @@ def _doubled(links: DataFrame, paths: bool) -> DataFrame:
     """The same columns as ``_bundles`` for trees of any size.
 
     After round ``k`` a node knows the node 2^k steps above it, unless it is nearer to its root, and ``size`` counts
-    the descendants fewer than 2^k steps below it; those at exactly that distance then add theirs.
+    the descendants fewer than 2^k steps below it; those at exactly that distance then add theirs. ``top`` says that
+    the node above is the root, beyond which there is nothing to look up, so that no round joins on a root.
     """
     key = ["grp", "node"]
-    known = written(links.select(*key, F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("steps")), "up")
+    known = written(links.select(*key, F.col("parent").alias("up"), "top", F.lit(1).cast("bigint").alias("size")), "up")
     while not known.filter("up IS NOT NULL").isEmpty():
         added = known.filter("up IS NOT NULL").groupBy("grp", F.col("up").alias("node")).agg(F.sum("size").alias("more"))
-        target = known.select("grp", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
-        joined = known.join(added, key, "left").join(target, ["grp", "up"], "left")
-        steps = F.col("steps") + F.coalesce("steps2", F.lit(0))  # to the node above, or to the root
-        step = joined.select(*key, F.col("up2").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), steps.alias("steps"))
+        grown = known.join(added, key, "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
+        step = _stepped(grown, known, [], lambda joined: {}, lambda ended: {})
         known, old = written(step, "up"), known
         dropped(old)
-    sized = written(links.join(known.select(*key, F.col("steps").alias("depth"), "size"), key), "sized")
+    sized = written(links.join(known.select(*key, "size"), key), "sized")
 
     offsets = _earlier_siblings(sized.filter("parent IS NOT NULL"))
-    down = sized.join(offsets, key, "left").select(*key, F.col("parent").alias("up"), F.coalesce("offset", F.lit(0)).cast("bigint").alias("first"), (F.col("node") if paths else F.lit(None).cast("string")).alias("path"))
+    down = sized.join(offsets, key, "left").select(*key, F.col("parent").alias("up"), "top", F.coalesce("offset", F.lit(0)).cast("bigint").alias("first"), (F.col("node") if paths else F.lit(None).cast("string")).alias("path"))
     down = written(down, "down")
     while not down.filter("up IS NOT NULL").isEmpty():
-        target = down.select("grp", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("first").alias("first2"), F.col("path").alias("path2"))
-        step = down.join(target, ["grp", "up"], "left").select(*key, F.col("up2").alias("up"), (F.col("first") + F.coalesce("first2", F.lit(0))).alias("first"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat_ws("/", "path2", "path")).alias("path"))
+        further = lambda j: {"first": F.col("first") + F.col("first2"), "path": F.concat_ws("/", "path2", "path")}
+        at_root = lambda e: {"path": F.when(F.col("up").isNotNull() & F.col("path").isNotNull(), F.concat_ws("/", "up", "path")).otherwise(F.col("path"))}
+        step = _stepped(down, down, ["first", "path"], further, at_root)
         down, old = written(step, "down"), down
         dropped(old)
-    return sized.join(down.select(*key, "first", "path"), key).select("grp", "node", "parent", F.col("unit").alias("root"), "depth", "size", "first", F.lit(False).alias("cyclic"), "path")
+    path = F.when(F.lit(paths), F.col("path"))
+    ranged = written(sized.join(down.select(*key, "first", path.alias("path")), key), "ranged")
+    return ranged.join(_depths(ranged), key).select("grp", "node", "parent", F.col("unit").alias("root"), "depth", "size", "first", F.lit(False).alias("cyclic"), "path")
+
+
+def _stepped(rows: DataFrame, above: DataFrame, carried: list[str], further, at_root) -> DataFrame:
+    """``rows`` with ``up`` and ``top`` of the node above taken over; below a root or without a node above, there is none any more."""
+    ending = F.col("up").isNull() | F.col("top")
+    ended = rows.filter(ending)
+    ended = ended.withColumns({**at_root(ended), "up": F.lit(None).cast("string"), "top": F.lit(False)})
+    target = above.select("grp", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), *[F.col(c).alias(f"{c}2") for c in carried])
+    joined = rows.filter(~ending).join(target, ["grp", "up"])
+    joined = joined.withColumns({**further(joined), "up": F.col("up2"), "top": F.col("top2")})
+    return ended.unionByName(joined.select(*ended.columns))
 
 
 def _earlier_siblings(sized: DataFrame) -> DataFrame:
-    """``grp, node, offset``: one more than the sizes of the siblings that come earlier, by (part, node).
+    """``grp, node, offset``: one more than the sizes of the siblings that come earlier, by node.
 
-    A parent's children are summed in parts, so that a parent of very many children is no single task's work.
+    The nodes are dealt out in ranges of their ids, and a parent's children are summed range by range, so that a
+    parent of very many children is no single task's work.
     """
-    sums = sized.groupBy("grp", "parent", "part").agg(F.sum("size").alias("s"))
+    parted = written(sized.select("grp", "parent", "node", "size").repartitionByRange("node").withColumn("part", F.spark_partition_id()), "siblings")
+    sums = parted.groupBy("grp", "parent", "part").agg(F.sum("size").alias("s"))
     ahead = Window.partitionBy("grp", "parent").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("grp", "parent", "part", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("base"))
     inner = Window.partitionBy("grp", "parent", "part").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    local = sized.withColumn("local", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    local = parted.withColumn("local", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     return local.join(sums, ["grp", "parent", "part"]).select("grp", "node", (F.col("base") + F.col("local") + 1).alias("offset"))
 
 
+def _depths(ranged: DataFrame) -> DataFrame:
+    """``grp, node, depth``: how many ranges of its tree hold each node's number, itself not counted.
+
+    Every earlier number has opened a range; those that ended at the number or before don't hold it. Ends are counted
+    in blocks of numbers, so that a tree's numbers need not be in one task.
+    """
+    tree = ["grp", "unit", "block"]
+    start = ranged.select("grp", "unit", "node", F.col("first").alias("at"), F.lit(1).alias("kind"))
+    ends = ranged.select("grp", "unit", F.lit(None).cast("string").alias("node"), (F.col("first") + F.col("size")).alias("at"), F.lit(0).alias("kind"))
+    events = start.unionByName(ends).withColumn("block", F.floor(F.col("at") / BLOCK))
+    sums = events.groupBy(*tree).agg(F.count_if(F.col("kind") == 0).alias("n"))
+    ahead = Window.partitionBy("grp", "unit").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*tree, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ended"))
+    inner = Window.partitionBy(*tree).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    local = events.withColumn("local", F.count_if(F.col("kind") == 0).over(inner)).filter("kind = 1")
+    return local.join(sums, tree).select("grp", "node", (F.col("at") - F.col("ended") - F.col("local")).alias("depth"))
+
+
 def _below_cycles(links: DataFrame) -> DataFrame:
     """Nodes on cycles and those hanging from them, named by the smallest id on the cycle.
 
@@ -212,25 +260,28 @@ def hierarchy(df: DataFrame, group_col: str, node_col: str, parent_col: str, *,
 
     Ids are compared trimmed and in lower case. A node whose parent is null, empty or no node of its group is a root:
     depth 0, its parent null. ``size`` counts the node and its descendants, ``first`` is its preorder number in its
-    root's tree, and ``path``, if asked for, joins the ids from the root down with ``/``. Nodes on cycles (``cyclic``) and below them have depth, size and first -1, no path, and as root the smallest id
-    on the cycle. Rows with a null or empty group or node are left out; a node given several times counts once, with
+    root's tree, siblings in the order of their ids, and ``path``, if asked for, joins the ids from the root down with
+    ``/``. Nodes on cycles (``cyclic``) and below them have depth, size and first -1, no path, and as root the smallest
+    id on the cycle. Rows with a null or empty group or node are left out; a node given several times counts once, with
     its smallest parent. Other columns are not read; an empty table gives no rows.
     """
     links = df.select(tidy(group_col).alias("grp"), tidy(node_col).alias("node"), tidy(parent_col).alias("parent")).filter("grp IS NOT NULL AND node IS NOT NULL")
-    links = written(links.distinct().withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")), "links")
+    links = written(links.distinct(), "links")
     counts = links.groupBy("grp").agg(F.count("*").alias("n"))
     large = written(counts.filter(F.col("n") > small_rows).select("grp"), "large")
     has_large = not large.isEmpty()
     bounded, others = (links.join(large, "grp", "left_anti") if has_large else links).withColumn("unit", F.lit(None).cast("string")), []
     if has_large:
-        big = links.join(large, "grp", "left_semi").groupBy("grp", "node", "part").agg(F.min("parent").alias("parent"))
+        big = links.join(large, "grp", "left_semi").groupBy("grp", "node").agg(F.min("parent").alias("parent"))
         parents = big.select("grp", F.col("node").alias("parent"), F.lit(True).alias("found"))
-        big = big.join(parents, ["grp", "parent"], "left").select("grp", "node", F.when(F.col("found"), F.col("parent")).alias("parent"), "part")
-        units = written(_units(written(big, "big")), "units")
+        big = written(big.join(parents, ["grp", "parent"], "left").select("grp", "node", F.when(F.col("found"), F.col("parent")).alias("parent")), "big")
+        tops = big.filter("parent IS NULL").select("grp", F.col("node").alias("parent"), F.lit(True).alias("top"))
+        big = big.join(tops, ["grp", "parent"], "left").select("grp", "node", "parent", F.coalesce("top", F.lit(False)).alias("top"))
+        units = written(_units(written(big, "linked")), "units")
         same = ["grp", F.coalesce("unit", F.lit("")).alias("u")]  # no id is empty
         larger = written(units.groupBy(*same).agg(F.count("*").alias("n")).filter(F.col("n") > small_rows).select("grp", "u"), "larger")
         marked = units.withColumn("u", F.coalesce("unit", F.lit("")))
-        bounded = bounded.unionByName(marked.join(larger, ["grp", "u"], "left_anti").drop("u"))
+        bounded = bounded.unionByName(marked.join(larger, ["grp", "u"], "left_anti").drop("u", "top"))
         if not larger.isEmpty():
             rest = written(marked.join(larger, ["grp", "u"], "left_semi").drop("u"), "rest")
             trees, hung = rest.filter("unit IS NOT NULL"), rest.filter("unit IS NULL")

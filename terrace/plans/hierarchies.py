@@ -35,7 +35,7 @@ def p3_subtree_errors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """All descendants of every span, a row each. The SQL has those of the roots' children only."""
+    """All descendants of every span, a row each."""
     nodes = written(_spans(spark, folder), "spans")
     pairs = descendant_pairs(nodes)
     return pairs.select(F.col("grp").alias("trace_id"), F.col("ancestor").alias("span_id"), F.col("node").alias("descendant_span_id"))
@@ -46,13 +46,20 @@ _TREE = """
 WITH RECURSIVE raw AS (SELECT lower(regexp_replace(trace_id, '^\\s+|\\s+$', '', 'g')) AS t, lower(regexp_replace(span_id, '^\\s+|\\s+$', '', 'g')) AS s, nullif(lower(regexp_replace(parent_span_id, '^\\s+|\\s+$', '', 'g')), '') AS p FROM otel_spans),
 one AS (SELECT t, s, min(p) AS p FROM raw WHERE t <> '' AND s <> '' GROUP BY t, s),
 l AS (SELECT a.t, a.s, b.s AS p FROM one a LEFT JOIN one b ON b.t = a.t AND b.s = a.p),
-down AS (SELECT t, s, s AS root, 0::BIGINT AS depth FROM l WHERE p IS NULL UNION ALL SELECT l.t, l.s, d.root, d.depth + 1 FROM down d JOIN l ON l.t = d.t AND l.p = d.s),
+down AS (SELECT t, s, s AS root, 0::BIGINT AS depth, [s] AS line FROM l WHERE p IS NULL UNION ALL SELECT l.t, l.s, d.root, d.depth + 1, list_append(d.line, l.s) FROM down d JOIN l ON l.t = d.t AND l.p = d.s),
 rest AS (SELECT l.t, l.s, l.p FROM l LEFT JOIN down d ON d.t = l.t AND d.s = l.s WHERE d.s IS NULL),
 walk AS (SELECT t, s AS start, s AS at, [s] AS way, false AS done FROM rest
          UNION ALL SELECT w.t, w.start, r.p, CASE WHEN list_contains(w.way, r.p) THEN w.way[list_position(w.way, r.p):] ELSE list_append(w.way, r.p) END, list_contains(w.way, r.p) FROM walk w JOIN rest r ON r.t = w.t AND r.s = w.at WHERE NOT w.done),
 up AS (SELECT t, s, s AS above FROM down UNION ALL SELECT u.t, u.s, l.p FROM up u JOIN l ON l.t = u.t AND l.s = u.above WHERE l.p IS NOT NULL)
 """
+_LAST = "last AS (SELECT t, s, arg_max(status, (created_at, id)) AS status FROM (SELECT lower(regexp_replace(trace_id, '^\\s+|\\s+$', '', 'g')) AS t, lower(regexp_replace(span_id, '^\\s+|\\s+$', '', 'g')) AS s, lower(status_code) AS status, created_at, id FROM otel_spans) GROUP BY t, s)"
 ORACLE: dict[str, str] = {
     "p3_found": _TREE + "SELECT t AS trace_id, s AS span_id, root AS root_span_id, depth FROM down UNION ALL SELECT t, start, list_min(way), -1 FROM walk WHERE done",
-    "p3_descendants": _TREE + "SELECT u.t AS trace_id, u.above AS span_id, u.s AS descendant_span_id FROM up u JOIN down d ON d.t = u.t AND d.s = u.above AND d.depth = 1 WHERE u.s <> u.above",
+    "p3_hierarchy": _TREE
+    + """, sizes AS (SELECT t, above AS s, count(*) AS size FROM up GROUP BY ALL)
+SELECT d.t AS trace_id, d.s AS span_id, l.p AS parent_span_id, d.root AS root_span_id, d.depth, z.size, row_number() OVER (PARTITION BY d.t, d.root ORDER BY d.line) - 1 AS first, false AS cyclic, array_to_string(d.line, '/') AS path
+FROM down d JOIN l ON l.t = d.t AND l.s = d.s JOIN sizes z ON z.t = d.t AND z.s = d.s
+UNION ALL SELECT w.t, w.start, l.p, list_min(way), -1, -1, -1, list_contains(way, w.start), NULL FROM walk w JOIN l ON l.t = w.t AND l.s = w.start WHERE done""",
+    "p3_subtree_errors": _TREE + ", " + _LAST + ", n AS (SELECT u.t, u.above AS s, count(*) AS errors FROM up u JOIN last ON last.t = u.t AND last.s = u.s WHERE status = 'error' GROUP BY ALL) SELECT l.t AS trace_id, l.s AS span_id, coalesce(n.errors, 0) AS errors FROM l LEFT JOIN n ON n.t = l.t AND n.s = l.s",
+    "p3_descendants": _TREE + "SELECT t AS trace_id, above AS span_id, s AS descendant_span_id FROM up WHERE s <> above",
 }
