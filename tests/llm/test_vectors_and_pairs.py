@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from terrace.llm.components import components
 from terrace.llm.cooccurrence import basket, cooccurrence, found_together
-from terrace.llm.near_duplicates import NearDuplicates, run_set, signature, multipliers, variant_keys
+from terrace.llm import near_duplicates
+from terrace.llm.near_duplicates import NearDuplicates, layout, least_agreeing, multipliers, run_set, signature, variant_keys
 from terrace.llm.similar_vectors import Tree, first_of_queue, similar_pairs, similar_vectors
 from terrace.llm.words import WordHashes, shingle_hashes, words
 
@@ -127,7 +128,10 @@ def brute_pairs(rows, least):
     return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}, sets
 
 
-def test_pairs_groups_and_links(spark):
+@pytest.mark.parametrize("tile", [512, 2])
+def test_pairs_groups_and_links(spark, monkeypatch, tile):
+    """With tiles of two, nearly all variants and classes are divided."""
+    monkeypatch.setattr(near_duplicates, "TILE", tile)
     rows = near_rows()
     found = NearDuplicates(texts(spark, rows), "doc", joined(), similarity=0.5)
     got = {(r.doc_a, r.doc_b) for r in found.all_pairs().collect()}
@@ -140,6 +144,43 @@ def test_pairs_groups_and_links(spark):
     assert all(r.links == len({groups[b if a == i else a].class_id for a, b in got if i in (a, b)} - {r.class_id}) for i, r in groups.items())
 
 
+def test_many_records_that_share_a_passage(spark):
+    """20,000 records of which a quarter is the same passage: none is similar to another, but for those made so."""
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(110)), lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", k), F.lit(50_000)))), " ")
+    shared = " ".join(f"boiler{k}" for k in range(40))
+    rows = spark.range(20_000).select(F.col("id").alias("doc"), F.lit(shared).alias("title"), own.alias("content"))
+    near = rows.filter("doc % 1000 = 7").select((F.col("doc") + 1_000_000).alias("doc"), "title", F.concat("content", F.lit(" and a few words more")).alias("content"))
+    found = NearDuplicates(rows.unionByName(near), "doc", joined(), similarity=0.5)
+    assert {(r.doc_a, r.doc_b) for r in found.all_pairs().collect()} == {(k, k + 1_000_000) for k in range(7, 20_000, 1000)}
+
+
+def test_a_variant_of_very_many_classes_is_dealt_out(spark, monkeypatch):
+    """What the tasks get to compare stays small, however many classes share a variant."""
+    monkeypatch.setattr(near_duplicates, "TILE", 16)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(k, "t", " ".join([*base, f"own{k}", f"end{k}"])) for k in range(100)]
+    found = NearDuplicates(texts(spark, rows), "doc", joined(), similarity=0.5)
+    assert found.pairs.count() == 4950 and found.all_pairs().count() == 4950
+    assert {r.links for r in found.groups().collect()} == {99} and {r.group_id for r in found.groups().collect()} == {0}
+
+
+def test_one_class_of_very_many_records(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "TILE", 16)
+    text = " ".join(f"w{k}" for k in range(40))
+    found = NearDuplicates(texts(spark, [(k, "t", text) for k in range(150)] + [(999, "t", text + " x")]), "doc", joined())
+    got = [(r.doc_a, r.doc_b) for r in found.all_pairs().collect()]
+    assert len(got) == len(set(got)) == 151 * 150 // 2 and all(a < b for a, b in got)
+
+
+def test_layouts():
+    assert layout(0.5) == (16, 4)
+    for s in (0.3, 0.5, 0.6, 0.8, 0.9, 1.0):
+        segments, symbols = layout(s)
+        found = symbols * s ** (symbols - 1) * (1 - s) + s**symbols
+        assert segments * symbols <= 64 and (1 - found) ** segments <= (0.003 if s >= 0.5 else 1)
+        assert 1 <= least_agreeing(s, segments * symbols) <= segments * symbols * s
+
+
 def test_no_texts(spark):
     found = NearDuplicates(texts(spark, []), "doc", joined())
     assert found.all_pairs().collect() == [] and found.groups().collect() == []
@@ -147,12 +188,12 @@ def test_no_texts(spark):
 
 def test_variants_meet_when_one_symbol_of_a_segment_differs():
     rng = np.random.default_rng(1)
-    sig = signature(rng.integers(0, 2**63, 500, np.uint64), multipliers())
+    sig = signature(rng.integers(0, 2**63, 500, np.uint64), multipliers(64))
     other = sig.copy()
     other[::4] ^= 1  # one symbol of each segment
-    assert len(set(variant_keys(sig)[0]) & set(variant_keys(other)[0])) == 16
+    assert len(set(variant_keys(sig, 16, 4)[0]) & set(variant_keys(other, 16, 4)[0])) == 16
     other[1::4] ^= 1
-    assert not set(variant_keys(sig)[0]) & set(variant_keys(other)[0])
+    assert not set(variant_keys(sig, 16, 4)[0]) & set(variant_keys(other, 16, 4)[0])
 
 
 def test_components(spark):
