@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -206,8 +207,9 @@ def test_components(spark):
 # Items together
 
 
-@pytest.mark.parametrize("most_heavy", [0, 3, 512])
-def test_pairs_of_items(spark, most_heavy):
+@pytest.mark.parametrize(("dense", "tile", "long"), [(0, 8, 256), (20, 3, 256), (20, 2048, 2), (10**6, 7, 256), (0, 8, 2)])
+def test_pairs_of_items(spark, dense, tile, long):
+    """All light, both, and all heavy; matrices in tiles; baskets of more than two light items treated as long ones."""
     rng = np.random.default_rng(2)
     raw = [[f" Tag{x}" if x % 2 else f"tag{x}" for x in rng.zipf(1.5, int(rng.integers(0, 9))).tolist() if x < 60] for _ in range(400)]
     raw += [None, [], [" ", None, ""], ["TAG1", "tag1 "]] + [["hot", "hotter"]] * 200
@@ -220,12 +222,28 @@ def test_pairs_of_items(spark, most_heavy):
             n2[p] = n2.get(p, 0) + 1
     total = sum(map(bool, clean))
     df = spark.createDataFrame([(b, "c", 1) for b in raw], "tags array<string>, items string, basket int").select(basket("tags").alias("items"))
-    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.baskets) for r in cooccurrence(df, most_heavy=most_heavy).collect()}
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.baskets) for r in cooccurrence(df, dense=dense, tile=tile, long=long).collect()}
     assert got == {(a, b): (k, n[a], n[b], total) for (a, b), k in n2.items()}
+    for least in (2, 5):
+        got = {(r.item_a, r.item_b): r.n_ab for r in cooccurrence(df, least_together=least, dense=dense, tile=tile, long=long).collect()}
+        assert got == {p: k for p, k in n2.items() if k >= least}
     often = {(r.tag_a, r.tag_b) for r in found_together(df).collect()}
     assert often == {(a, b) for (a, b), k in n2.items() if k >= 4 and k * total >= 3 * n[a] * n[b]}
 
 
+def test_baskets_of_twenty_thousand_items(spark):
+    """Two such baskets beside small ones: pairs of three baskets at least, without the 200 million pairs of each."""
+    rng = np.random.default_rng(3)
+    small = [sorted(f"i{x:05}" for x in set(rng.integers(0, 20_000, 4).tolist())) for _ in range(30_000)]
+    small += [["i00001", "i00002"], ["i19998", "i19999"], ["i19998", "i19999"]]
+    n2 = Counter(p for b in small for p in itertools.combinations(b, 2))
+    want = {p: k + 2 for p, k in n2.items() if k + 2 >= 3}
+    df = spark.createDataFrame([(b,) for b in small], "items array<string>")
+    huge = spark.range(2).select(F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda k: F.format_string("i%05d", k)).alias("items"))
+    got = {(r.item_a, r.item_b): r.n_ab for r in cooccurrence(df.unionByName(huge), least_together=3).collect()}
+    assert got == want
+
+
 def test_no_baskets(spark):
     df = spark.createDataFrame([(None,), ([],)], "tags array<string>").select(basket("tags").alias("items"))
     assert cooccurrence(df).collect() == []
