@@ -125,9 +125,15 @@ _LEAKED = f"""
 WITH i AS (SELECT item_id, {_WORDS.format("passage")} AS w FROM eval_items WHERE passage IS NOT NULL),
 g AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
 d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
-h AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
-SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (run)
+h AS (SELECT doc_id, k - 1 AS place, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
 """
+_SPANS = (
+    _LEAKED
+    + """, s AS (SELECT DISTINCT doc_id, item_id, place FROM h JOIN g USING (run)),
+n AS (SELECT *, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id, item_id ORDER BY place) + 12 THEN 0 ELSE 1 END AS new FROM s),
+p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY place) AS part FROM n)
+SELECT doc_id, item_id, min(place) AS first_word, max(place) + 11 AS last_word FROM p GROUP BY doc_id, item_id, part"""
+)
 
 
 def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,7 +161,8 @@ QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1
 ORACLE: dict[str, str] = {
     "p1_found": _NEAREST + "SELECT DISTINCT least(id, neighbour) AS doc_a, greatest(id, neighbour) AS doc_b FROM k WHERE cosine >= 0.8",
     "p4_found": _SHINGLED,
-    "p7_found": _LEAKED,
+    "p7_found": _LEAKED + "SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (run)",
+    "p7_spans": _SPANS,
     "p5_found": _BASKET_SQL + "SELECT tag_a, tag_b FROM s WHERE n_ab >= 4 AND n_ab * baskets >= 3 * n_a * n_b",
     "p5_pairs": _BASKET_SQL + "SELECT tag_a, tag_b, n_ab, n_a, n_b, round(n_ab * baskets::DOUBLE / (n_a * n_b), 6) AS lift FROM s",
 }

@@ -63,6 +63,15 @@ def test_leaks(spark, shard_words, block_words):
     assert got == brute_spans(docs, items, 8) and got
 
 
+@pytest.mark.parametrize("shard_words", [50, 1_000_000])
+def test_spans_are_whole_across_shards(spark, shard_words):
+    passage = [f"p{k}" for k in range(200)]
+    held = spark.createDataFrame([(1, " ".join(passage)), (2, " ".join(passage[60:90]))], "nr bigint, p string")
+    docs = [(1, " ".join(passage)), (2, " ".join(["x", *passage[:40], "y", *passage[40:]])), (3, " ".join(passage[:12] + passage[:11]))]
+    got = sorted(map(tuple, leaked_spans(spark.createDataFrame(docs, "doc bigint, txt string"), "doc", "txt", held, "nr", "p", shard_words=shard_words).collect()))
+    assert got == [(1, 1, 0, 199), (1, 2, 60, 89), (2, 1, 1, 40), (2, 1, 42, 201), (2, 2, 62, 91), (3, 1, 0, 11)]
+
+
 def test_no_leaks(spark):
     some = spark.createDataFrame([(1, "a b c")], "id bigint, t string")
     assert leaked_spans(some.limit(0), "id", "t", some, "id", "t", least=2).collect() == []
