@@ -5,6 +5,10 @@ The upper trees are fitted on a bounded sample and route every vector to cells,
 work; within a cell the trees go on over the cell's own rows down to small leaves. At either level a query visits
 the nodes of all trees in the order of one shared queue whose priority is the smallest signed margin on the way
 from the root. Candidates of the visited leaves are reranked by their exact cosine.
+
+Only the nodes that the queue can still reach are looked at: below a node whose priority is negative some leaf has
+the same priority, so at each level the best nodes of all trees, as many as leaves are wanted and one more for each
+tree, hold all the leaves that the queue gives out.
 """
 
 from __future__ import annotations
@@ -64,18 +68,41 @@ class Tree:
             self.planes[node], self.cuts[node] = plane, cut
             rows[2 * node + 1], rows[2 * node + 2] = at[~side], at[side]
 
-    def priorities(self, x: np.ndarray) -> np.ndarray:
-        """For each row and leaf, the smallest signed margin on the way to the leaf."""
-        margin = x @ self.planes.T - self.cuts if len(self.planes) else np.empty((len(x), 0), np.float32)
-        level = np.full((len(x), 1), np.inf, np.float32)
-        for d in range(self.depth):
-            m = margin[:, 2**d - 1 : 2 ** (d + 1) - 1]
-            level = np.stack([np.minimum(level, -m), np.minimum(level, m)], axis=2).reshape(len(x), -1)
-        return level
-
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf that holds each row."""
-        return self.priorities(x).argmax(1)
+        return first_of_queue([self], x, 1)[0].ravel()
+
+
+def first_of_queue(forest: list[Tree], x: np.ndarray, visits: int, dense: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The leaves that a queue shared by all trees gives out first, each row's as numbers over all trees, and the leaf of each tree that holds the row.
+
+    Walks all trees level by level. A level of at most ``dense`` planes is worked off as one matrix product, in others
+    each row meets the planes of its own nodes only.
+    """
+    depth, trees, rows = forest[0].depth, len(forest), len(x)
+    keep = visits + trees
+    node = np.tile(np.arange(trees), (rows, 1))  # tree * 2^level + place within the level
+    rank = np.full((rows, trees), np.inf, np.float32)
+    for level in range(depth):
+        wide = 2**level
+        begin, end = wide - 1, 2 * wide - 1
+        planes, cuts = np.concatenate([t.planes[begin:end] for t in forest]), np.concatenate([t.cuts[begin:end] for t in forest])
+        if len(planes) <= dense:
+            margin = np.take_along_axis(x @ planes.T - cuts, node, 1)
+        else:
+            margin = np.empty(node.shape, np.float32)
+            for at in range(0, rows, 512):
+                some = slice(at, at + 512)
+                margin[some] = np.einsum("rd,rnd->rn", x[some], planes[node[some]]) - cuts[node[some]]
+        node = np.concatenate([2 * node, 2 * node + 1], axis=1)
+        rank = np.concatenate([np.minimum(rank, -margin), np.minimum(rank, margin)], axis=1)
+        if node.shape[1] > keep:
+            best = np.argpartition(-rank, keep - 1, axis=1)[:, :keep]
+            node, rank = np.take_along_axis(node, best, 1), np.take_along_axis(rank, best, 1)
+    visits = min(visits, node.shape[1])
+    first = np.take_along_axis(node, np.argpartition(-rank, visits - 1, axis=1)[:, :visits], 1)
+    own = np.stack([np.take_along_axis(node, np.where(node >> depth == t, rank, -np.inf).argmax(1)[:, None], 1)[:, 0] for t in range(trees)], axis=1)
+    return first, own
 
 
 def _split(x: np.ndarray, at: np.ndarray, rng: np.random.Generator, fit_rows: int) -> tuple[np.ndarray, float, np.ndarray]:
@@ -105,30 +132,21 @@ def _split(x: np.ndarray, at: np.ndarray, rng: np.random.Generator, fit_rows: in
     return plane.astype(np.float32), cut, side
 
 
-def first_of_queue(priorities: list[np.ndarray], visits: int) -> np.ndarray:
-    """The leaves that a queue shared by all trees gives out first, each row's as numbers over all trees.
-
-    Priorities never grow on the way down, so the queue pops leaves in the order of their own priorities.
-    """
-    every = np.concatenate(priorities, axis=1)
-    visits = min(visits, every.shape[1])
-    return np.argpartition(-every, visits - 1, axis=1)[:, :visits]
-
-
-def nearest_in_cell(ids: np.ndarray, x: np.ndarray, items: np.ndarray, k: int, trees: int, leaf_rows: int, visits: int, floor: float, seed: int):
-    """The best ``k`` items, of cosine ``floor`` at least, for each row of a cell; ``items``: the rows that may be found."""
+def nearest_in_cell(ids: np.ndarray, x: np.ndarray, role: np.ndarray, k: int, trees: int, leaf_rows: int, visits: int, floor: float, seed: int):
+    """The best ``k`` items of a cell, of cosine ``floor`` at least, for each of its queries; ``role``: 1 for a query, 2 for an item, 3 for both."""
     rng = np.random.default_rng(seed)
-    own = np.flatnonzero(items)
+    own, queries = np.flatnonzero(role & 2), np.flatnonzero(role & 1)
+    if not len(own) or not len(queries):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     depth = max(0, int(np.ceil(np.log2(max(1, len(own)) / leaf_rows))))
     forest = [Tree(x[own], depth, rng) for _ in range(trees if depth else 1)]
-    ranks = [t.priorities(x) for t in forest]
-    visited = first_of_queue(ranks, max(visits, len(forest)))
+    visited, _ = first_of_queue(forest, x[queries], max(visits, len(forest)))
     found_q, found_i, found_s = [], [], []
-    for t, rank in enumerate(ranks):
-        leaf_of = rank[own].argmax(1)
-        for leaf in range(rank.shape[1]):
+    for t, tree in enumerate(forest):
+        leaf_of = tree.leaves(x[own])
+        for leaf in range(2**depth):
             rows = own[leaf_of == leaf]
-            ask = np.flatnonzero((visited == t * rank.shape[1] + leaf).any(1))
+            ask = queries[(visited == t * 2**depth + leaf).any(1)]
             if not len(rows) or not len(ask):
                 continue
             for part in np.array_split(ask, max(1, len(ask) * len(rows) // 4_000_000)):
@@ -157,7 +175,7 @@ def nearest_in_cell(ids: np.ndarray, x: np.ndarray, items: np.ndarray, k: int, t
 
 def similar_vectors(
     df: DataFrame, id_col: str, vec_col: str, *, k: int = 10, dim: int = 384, floor: float = -1.0, cell_rows: int = 4096,
-    trees: int = 4, probes: int = 5, sample_rows: int = 32_768, local_trees: int = 2, local_visits: int = 4, leaf_rows: int = 512, seed: int = 7,
+    trees: int = 4, probes: int = 5, sample_rows: int = 32_768, most_rows: int = 16_384, local_trees: int = 2, local_visits: int = 4, leaf_rows: int = 512, seed: int = 7,
 ) -> DataFrame:
     """The ``k`` vectors most similar to each vector: ``id, neighbour, cosine``, both ways, ids unique in ``df``.
 
@@ -165,7 +183,9 @@ def similar_vectors(
     and rows without id have no part. Equal cosines go to the smaller id. Rows below ``floor`` are left out. Other
     columns of ``df`` are not read. An empty table gives no rows.
 
-    ``sample_rows`` bounds the sample on which the upper trees are fitted; every row is indexed. Equal vectors are
+    ``sample_rows`` bounds the sample on which the upper trees are fitted, and so their depth; every row is indexed. A
+    cell that by the sample has more than ``most_rows`` rows is dealt out to smaller ones of that size, in each of which
+    all of its queries are asked, so that no task's share grows with the data. Equal vectors are
     routed once, through the smallest id that holds them, so that a vector held by a third of all rows is no hot
     cell; the first ``k + 1`` holders of a vector are enough to fill any list.
     """
@@ -192,6 +212,8 @@ def similar_vectors(
     upper = [Tree(sampled, depth, rng) for _ in range(trees if depth else 1)]
     forest = spark.sparkContext.broadcast(upper)  # at most sample_rows / 8 planes a tree
     visits = probes if depth else 1
+    share = [np.bincount(t.leaves(sampled), minlength=2**depth) / max(1, len(sampled)) if len(sampled) else np.zeros(2**depth) for t in upper]
+    parts = np.maximum(1, np.ceil(np.concatenate(share) * rows / most_rows)).astype(np.int64)
 
     classes = marked.groupBy("mark").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1").select("mark", "first_id")
     held = written(marked.select("id", "mark").join(classes, "mark").select("id", "first_id"), "holders")
@@ -204,36 +226,58 @@ def similar_vectors(
             ids, x = usable_units(b.column(0), b.column(1), dim)
             if not len(ids):
                 continue
-            ranks = [t.priorities(x) for t in forest.value]
-            leaves = ranks[0].shape[1]
-            own = np.stack([r.argmax(1) + t * leaves for t, r in enumerate(ranks)], axis=1)
-            asked = first_of_queue(ranks, visits)
-            wanted = np.zeros((len(ids), leaves * len(ranks)), np.int8)
-            np.put_along_axis(wanted, asked, 1, axis=1)
-            np.put_along_axis(wanted, own, 2, axis=1)
+            first, own = first_of_queue(forest.value, x, visits)
+            wanted = np.zeros((len(ids), len(parts)), np.int8)
+            np.put_along_axis(wanted, first, 1, axis=1)
+            np.put_along_axis(wanted, own, 3, axis=1)
             row, cell = np.nonzero(wanted)
-            for part in np.array_split(np.arange(len(row)), len(row) // 4096 + 1):
-                r, c = row[part], cell[part]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(ids[r]), pa.array(wanted[r, c] == 2), to_binary(x[r])], ["cell", "id", "item", "vec"])
+            for some in np.array_split(np.arange(len(row)), len(row) // 2048 + 1):
+                r, c, i, j, role = dealt(row[some], cell[some], wanted[row[some], cell[some]], ids, parts)
+                for at in range(0, len(r), 4096):
+                    p = slice(at, at + 4096)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[p].astype(np.int32)), pa.array(i[p].astype(np.int32)), pa.array(j[p].astype(np.int32)), pa.array(ids[r[p]]), pa.array(role[p].astype(np.int8)), to_binary(x[r[p]])], ["cell", "i", "j", "id", "role", "vec"])
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
         x = from_binary(group.column("vec"), dim)
-        q, i, s = nearest_in_cell(group.column("id").to_numpy(), x, group.column("item").to_numpy(), k, local_trees, leaf_rows, local_visits, floor, seed + key[0].as_py())
+        q, i, s = nearest_in_cell(group.column("id").to_numpy(), x, group.column("role").to_numpy(), k, local_trees, leaf_rows, local_visits, floor, seed + key[0].as_py())
         return pa.table({"id": pa.array(q, pa.int64()), "neighbour": pa.array(i, pa.int64()), "cosine": pa.array(s, pa.float64())})
 
-    near = routed.mapInArrow(route, "cell int, id bigint, item boolean, vec binary").groupBy("cell").applyInArrow(search, SCHEMA)
+    near = routed.mapInArrow(route, "cell int, i int, j int, id bigint, role tinyint, vec binary").groupBy("cell", "i", "j").applyInArrow(search, SCHEMA)
     if copies:
         near = _with_copies(near, held, k)
     best = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("away"), "neighbour"))), 1, k).alias("best"))
     return best.select("id", F.explode("best").alias("b")).select("id", F.col("b.neighbour").alias("neighbour"), (-F.col("b.away")).alias("cosine"))
 
 
-def _with_copies(near: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """Puts the holders of equal vectors in the place of the one that was routed."""
-    order = Window.partitionBy("first_id").orderBy("id")
-    few = held.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).select("first_id", F.col("id").alias("holder"))
-    among = held.join(few, "first_id").filter("id <> holder").select("id", F.col("holder").alias("neighbour"), F.lit(1.0).alias("cosine"))
-    lists = near.join(held.select(F.col("first_id").alias("r"), F.col("id").alias("asker")), F.col("id") == F.col("r"), "left")
+def dealt(row: np.ndarray, cell: np.ndarray, role: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``row, cell, i, j, role`` where each row goes: items of part ``i`` of a cell meet the queries of its part ``j``."""
+    n = parts[cell]
+    own = ((ids[row].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % n.astype(np.uint64)).astype(np.int64)
+    again = np.repeat(np.arange(len(row)), n)
+    other = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+    as_query = again, other, own[again], np.where(role[again] == 3, np.where(other == own[again], 3, 1), 1)
+    items = (role[again] == 3) & (other != own[again])
+    as_item = again[items], own[again][items], other[items], np.full(items.sum(), 2)
+    at, i, j, role = (np.concatenate(x) for x in zip(as_query, as_item))
+    return row[at], cell[at], i, j, role
+
+
+def _with_copies(near: DataFrame, held: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """Puts the holders of equal vectors in the place of the one that was routed.
+
+    The holders of a vector are dealt out to blocks and what they take over is repeated for each block, so that a
+    vector held by very many rows is no one key of the joins.
+    """
+    sizes = held.groupBy("first_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    held = held.join(sizes, "first_id").select("first_id", "id", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    place = F.row_number().over(Window.partitionBy("first_id").orderBy("id"))
+    local = F.row_number().over(Window.partitionBy("first_id", "block").orderBy("id"))
+    few = held.withColumn("place", local).filter(F.col("place") <= k + 1).withColumn("place", place).filter(F.col("place") <= k + 1)
+    few = written(few.select("first_id", F.col("id").alias("holder")), "few")
+    spread = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("first_id", "block")
+    among = held.join(few.join(spread, "first_id"), ["first_id", "block"]).filter("id <> holder").select("id", F.col("holder").alias("neighbour"), F.lit(1.0).alias("cosine"))
+    lists = near.join(spread.withColumnRenamed("first_id", "r"), F.col("id") == F.col("r"), "left").select("id", "neighbour", "cosine", F.coalesce("block", F.lit(0)).alias("block"))
+    lists = lists.join(held.select(F.col("first_id").alias("r"), F.col("block").alias("own"), F.col("id").alias("asker")), (F.col("id") == F.col("r")) & (F.col("block") == F.col("own")), "left")
     lists = lists.select(F.coalesce("asker", "id").alias("id"), "neighbour", "cosine")
     lists = lists.join(few, F.col("neighbour") == F.col("first_id"), "left").select("id", F.coalesce("holder", "neighbour").alias("neighbour"), "cosine")
     return lists.unionByName(among)

@@ -9,7 +9,7 @@ from terrace.llm.components import components
 from terrace.llm.cooccurrence import basket, cooccurrence, found_together
 from terrace.llm import near_duplicates
 from terrace.llm.near_duplicates import NearDuplicates, layout, least_agreeing, multipliers, run_set, signature, variant_keys
-from terrace.llm.similar_vectors import Tree, first_of_queue, similar_pairs, similar_vectors
+from terrace.llm.similar_vectors import Tree, dealt, first_of_queue, similar_pairs, similar_vectors
 from terrace.llm.words import WordHashes, shingle_hashes, words
 
 VECTORS = "doc bigint, v array<float>, id string, neighbour int, vec string, cell int"
@@ -34,33 +34,45 @@ def test_words():
     assert len(shingle_hashes(h[:2], 3)) == 0
 
 
-def test_queue_gives_leaves_as_a_heap_would():
-    """The order by leaf priority is the order in which a shared heap pops leaves; equal priorities may change places."""
+@pytest.mark.parametrize("dense", [64, 0])
+def test_queue_gives_leaves_as_a_heap_would(dense):
+    """What the walk by levels keeps is what a shared heap pops first; equal priorities may change places."""
     import heapq
 
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 12)).astype(np.float32)
-    forest = [Tree(x, 4, rng) for _ in range(3)]
-    ranks = [t.priorities(x[:20]) for t in forest]
-    every, got = np.concatenate(ranks, axis=1), first_of_queue(ranks, 6)
-    for row in range(20):
+    forest = [Tree(x, 5, rng) for _ in range(3)]
+    got, own = first_of_queue(forest, x[:40], 6, dense)
+
+    def rank(row, leaf):
+        t, place, way = forest[leaf >> 5], (leaf & 31) + 31, []
+        while place:
+            up = (place - 1) // 2
+            m = float(x[row] @ t.planes[up] - t.cuts[up])
+            way.append(m if place == 2 * up + 2 else -m)
+            place = up
+        return min(way)
+
+    for row in range(40):
         heap, popped = [(-np.inf, t, 0) for t in range(3)], []
         while len(popped) < 6:
             priority, t, node = heapq.heappop(heap)
-            inner = 2 ** forest[t].depth - 1
-            if node >= inner:
-                popped.append(t * (inner + 1) + node - inner)
+            if node >= 31:
+                popped.append(t * 32 + node - 31)
                 continue
             m = float(x[row] @ forest[t].planes[node] - forest[t].cuts[node])
             heapq.heappush(heap, (max(priority, m), t, 2 * node + 1))
             heapq.heappush(heap, (max(priority, -m), t, 2 * node + 2))
-        assert np.allclose(np.sort(every[row, popped]), np.sort(every[row, got[row]]), atol=1e-4)
+        assert len(set(got[row])) == 6 and np.allclose(sorted(rank(row, n) for n in popped), sorted(rank(row, int(n)) for n in got[row]), atol=1e-4)
+        assert [int(n) >> 5 for n in own[row]] == [0, 1, 2] and all(rank(row, int(n)) >= -1e-5 for n in own[row])
 
 
-def test_recall_against_brute_force(spark):
+@pytest.mark.parametrize("options", [{"cell_rows": 200}, {"cell_rows": 10_000, "most_rows": 30}, {"cell_rows": 200, "most_rows": 50}])
+def test_recall_against_brute_force(spark, options):
+    """Cells by the upper trees; one cell fifty times too large, dealt out; both."""
     x = clustered(1500, 16, 1)
     df = vectors(spark, [(k, row.tolist()) for k, row in enumerate(x)])
-    got = {(r.id, r.neighbour) for r in similar_vectors(df, "doc", "v", k=5, dim=16, cell_rows=200, leaf_rows=64).collect()}
+    got = {(r.id, r.neighbour) for r in similar_vectors(df, "doc", "v", k=5, dim=16, leaf_rows=64, **options).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
@@ -68,6 +80,21 @@ def test_recall_against_brute_force(spark):
     assert len(want & got) >= 0.9 * len(want) and len(got) == len(want)
 
 
+def test_large_cells_are_dealt_out():
+    """Every query of a cell meets every item of it once, and no part has more than its share."""
+    rng = np.random.default_rng(8)
+    ids, cell, parts = rng.permutation(5000), rng.integers(0, 2, 5000), np.array([1, 50])
+    role = np.where(rng.random(5000) < 0.6, 3, 1)
+    row, c, i, j, r = dealt(np.arange(5000), cell, role, ids, parts)
+    groups = {}
+    for at, *key, what in zip(row.tolist(), c.tolist(), i.tolist(), j.tolist(), r.tolist()):
+        groups.setdefault(tuple(key), []).append((at, what))
+    assert len(groups) == 1 + 50 * 50 and max(len(g) for k, g in groups.items() if k[0]) < 4 * 2500 / 50
+    met = Counter((q, t) for g in groups.values() for q, a in g if a & 1 for t, b in g if b & 2 and q != t)
+    want = {(q, t) for n in (0, 1) for q in np.flatnonzero(cell == n).tolist() for t in np.flatnonzero((cell == n) & (role == 3)).tolist() if q != t}
+    assert set(met) == want and set(met.values()) == {1}
+
+
 def test_unusable_vectors_copies_and_ties(spark):
     rows = [(k, [1.0, 0.0, 0.0]) for k in range(8)] + [(20, [2.0, 0.1, 0.0]), (21, [0.0, 1.0, 0.0]), (30, [0.0, 0.0, 0.0]), (31, [1.0, 2.0]), (32, None), (33, [float("nan"), 1.0, 1.0]), (34, [float("inf"), 1.0, 1.0]), (35, [None, 1.0, 1.0]), (36, []), (None, [1.0, 0.0, 0.0])]
     got = {}
@@ -80,6 +107,17 @@ def test_unusable_vectors_copies_and_ties(spark):
     assert all(a < b for a, b in pairs) and (0, 1) in pairs and (0, 20) in pairs and not any(21 in p for p in pairs)
 
 
+def test_a_vector_that_very_many_rows_hold(spark):
+    from terrace.llm.similar_vectors import _with_copies
+
+    held = spark.range(1, 400).select(F.lit(1).cast("bigint").alias("first_id"), "id").unionByName(spark.createDataFrame([(500, 500), (500, 501)], "first_id bigint, id bigint"))
+    near = spark.createDataFrame([(1, 500, 0.5), (500, 1, 0.5), (700, 1, 0.4), (700, 800, 0.3)], "id bigint, neighbour bigint, cosine double")
+    got = Counter((r.id, r.neighbour) for r in _with_copies(near, held, 2, block=16).collect())
+    first = (1, 2, 3)
+    want = {(a, b) for a in range(1, 400) for b in (500, 501, *first) if a != b} | {(a, b) for a in (500, 501) for b in first} | {(500, 501), (501, 500)} | {(700, b) for b in (*first, 800)}
+    assert set(got) == want and set(got.values()) == {1}
+
+
 def test_only_the_direction_counts(spark):
     rows = [(1, [3e38, 3e38, 0.0]), (2, [1e-30, 1e-30, 0.0]), (3, [1.0, 1.0, 0.0]), (4, [0.0, 0.0, -2.0])]
     got = {(r.id, r.neighbour): round(r.cosine, 6) for r in similar_vectors(vectors(spark, rows), "doc", "v", k=2, dim=3, floor=0.5).collect()}
