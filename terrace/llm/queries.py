@@ -160,7 +160,7 @@ QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1
 
 ORACLE: dict[str, str] = {
     "p1_found": _NEAREST + "SELECT DISTINCT least(id, neighbour) AS doc_a, greatest(id, neighbour) AS doc_b FROM k WHERE cosine >= 0.8",
-    "p1_neighbours": _NEAREST + "SELECT id, neighbour, round(cosine, 6) AS cosine FROM k",
+    "p1_neighbours": _NEAREST + "SELECT id, neighbour, round(round(cosine, 9), 6) AS cosine FROM k",
     "p4_found": _SHINGLED,
     "p7_found": _LEAKED + "SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (run)",
     "p7_spans": _SPANS,

@@ -29,16 +29,24 @@ SCHEMA = "id bigint, neighbour bigint, cosine double"
 # Inside tasks -------------------------------------------------------------------------------------------------
 
 
-def usable_units(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors of the rows that hold ``dim`` finite values, not all zero."""
+def usable_rows(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the rows that hold ``dim`` finite values, not all zero."""
     sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     keep = (sizes == dim) & ids.is_valid().to_numpy(zero_copy_only=False)
     vectors, ids = vectors.filter(pa.array(keep)), ids.filter(pa.array(keep))
     x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+    norm = lengths(x)
     good = np.isfinite(norm) & (norm > 0)
-    x = x[good] / norm[good, None]  # in double precision, so that very large and very small vectors keep their direction
-    return ids.to_numpy(zero_copy_only=False)[good].astype(np.int64), np.ascontiguousarray(x, np.float32)
+    return ids.to_numpy(zero_copy_only=False)[good].astype(np.int64), np.ascontiguousarray(x[good])
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """In double precision, so that very large and very small vectors keep their direction."""
+    return np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x / lengths(x)[:, None], np.float32)
 
 
 def to_binary(x: np.ndarray) -> pa.Array:
@@ -132,9 +140,9 @@ def _split(x: np.ndarray, at: np.ndarray, rng: np.random.Generator, fit_rows: in
     return plane.astype(np.float32), cut, side
 
 
-def nearest_in_cell(ids: np.ndarray, x: np.ndarray, role: np.ndarray, k: int, trees: int, leaf_rows: int, visits: int, floor: float, seed: int):
+def nearest_in_cell(ids: np.ndarray, given: np.ndarray, role: np.ndarray, k: int, trees: int, leaf_rows: int, visits: int, floor: float, seed: int):
     """The best ``k`` items of a cell, of cosine ``floor`` at least, for each of its queries; ``role``: 1 for a query, 2 for an item, 3 for both."""
-    rng = np.random.default_rng(seed)
+    rng, x, size = np.random.default_rng(seed), units(given), lengths(given)
     own, queries = np.flatnonzero(role & 2), np.flatnonzero(role & 1)
     if not len(own) or not len(queries):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -161,7 +169,7 @@ def nearest_in_cell(ids: np.ndarray, x: np.ndarray, role: np.ndarray, k: int, tr
     q, i, s = np.concatenate(found_q), np.concatenate(found_i), np.concatenate(found_s)
     _, once = np.unique(q.astype(np.int64) * len(x) + i, return_index=True)
     q, i, s = q[once], i[once], s[once]
-    exact = np.concatenate([np.einsum("ij,ij->i", x[a].astype(np.float64), x[b].astype(np.float64)) for a, b in zip(np.array_split(q, len(q) // 20_000 + 1), np.array_split(i, len(q) // 20_000 + 1))])
+    exact = np.concatenate([np.einsum("ij,ij->i", given[a], given[b], dtype=np.float64) / (size[a] * size[b]) for a, b in zip(np.array_split(q, len(q) // 20_000 + 1), np.array_split(i, len(q) // 20_000 + 1))])
     exact = np.round(exact, 9)
     order = np.lexsort((ids[i], -exact, q))
     q, i, exact = q[order], i[order], exact[order]
@@ -196,7 +204,8 @@ def similar_vectors(
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, x = usable_units(b.column(0), b.column(1), dim)
+            ids, x = usable_rows(b.column(0), b.column(1), dim)
+            x = units(x)
             taken = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(every) == 0
             marks = pa.array([hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in x], pa.binary())
             sample = pa.array([v.tobytes() if t else None for v, t in zip(x, taken)], pa.binary())
@@ -223,10 +232,10 @@ def similar_vectors(
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, x = usable_units(b.column(0), b.column(1), dim)
+            ids, x = usable_rows(b.column(0), b.column(1), dim)
             if not len(ids):
                 continue
-            first, own = first_of_queue(forest.value, x, visits)
+            first, own = first_of_queue(forest.value, units(x), visits)
             wanted = np.zeros((len(ids), len(parts)), np.int8)
             np.put_along_axis(wanted, first, 1, axis=1)
             np.put_along_axis(wanted, own, 3, axis=1)
