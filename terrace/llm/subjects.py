@@ -3,15 +3,16 @@
 A text is the average of its words' vectors, a word the average of the vectors of its own bucket and of its
 subwords' buckets, and every subject has a logistic output of its own. Training keeps the labelled texts in blocks;
 each step sends the parameters to the blocks, sums the gradients of all partitions and takes one Adam step. A first
-phase learns from whole labelled documents, a second from their paragraphs, each under that label of its document
+phase learns from whole labelled documents, a second from their paragraphs, each under those labels of its document
 that the first phase finds in it, so that wrong and missing labels lose their weight. Every document is then scored
-paragraph by paragraph, and has the subjects that fill a section.
+paragraph by paragraph, each output against its own threshold, and has the subjects that fill a section.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from terrace.plans.lineage import written
 
 BUCKETS, WIDTH, GRAM = 1 << 15, 16, 5
 TAG_WEIGHT = 0.05
+SMOOTH = 6  # words that say nothing, which a text is taken to hold besides its own, so that few words say little
 _FENCE = re.compile(r"^\s{0,3}(```|~~~)")
 _ATX = re.compile(r"^\s{0,3}#{1,6}(\s|$)")
 _SETEXT = re.compile(r"^\s{0,3}(=+|-+)\s*$")
@@ -50,6 +52,9 @@ def paragraphs(content: str | None) -> list[tuple[int, str]]:
             held.clear()
 
     for line in lines:
+        if fenced and not line.lstrip().startswith(("`", "~")) or line[:1].isalpha():  # neither fence nor marker
+            held.append(line)
+            continue
         if _FENCE.match(line):
             fenced = not fenced
             if not fenced:
@@ -79,7 +84,9 @@ def buckets_of(word: str) -> list[int]:
 def tokens(text: str | None) -> list[str]:
     """Words, and for Chinese the pairs of neighbouring characters."""
     found = words(text)
-    return found + [a + b for a, b in zip(found, found[1:]) if _HAN.match(a) and _HAN.match(b)]
+    if not found or text.isascii():
+        return found
+    return found + [a + b for a, b in zip(found, found[1:]) if "一" <= a <= "鿿" and "一" <= b <= "鿿"]  # characters stand alone
 
 
 def tag_tokens(tags) -> list[str]:
@@ -114,8 +121,8 @@ class Block:
         row, word, weight = [], [], []
         for k, (text, held) in enumerate(zip(texts, tags)):
             for part, share in ((text, 1 - TAG_WEIGHT if held else 1.0), (held, TAG_WEIGHT)):
-                for w in part:
-                    row.append(k), word.append(number.setdefault(w, len(number))), weight.append(share / len(part))
+                for w, n in Counter(part).items():
+                    row.append(k), word.append(number.setdefault(w, len(number))), weight.append(share * n / len(part) * len(text) / (len(text) + SMOOTH))
         self.row, self.word, self.weight = np.array(row, np.int32), np.array(word, np.int32), np.array(weight, np.float32)
         spread = [buckets_of(w) for w in number]
         self.sizes = np.array([len(s) for s in spread], np.int32)
@@ -179,10 +186,9 @@ def _blocks(labelled: DataFrame, subjects: int, model: np.ndarray | None, block_
             made = Block(texts, tags, np.array(wanted))
             if sent.value is not None:
                 share = made.outputs(Parameters.of(sent.value, subjects))[1]
-                best, labels = share.argmax(1), made.wanted
-                sure = share.max(1) >= 0.3
-                keep = np.where(labels.any(1), sure & (labels[np.arange(len(best)), best] > 0), ~sure)
-                made.wanted = np.eye(subjects, dtype=np.float32)[best] * labels.any(1)[:, None]
+                labels, sure = made.wanted, share >= 0.3
+                made.wanted = (sure & (labels > 0)).astype(np.float32)
+                keep = np.where(labels.any(1), made.wanted.any(1), ~sure.any(1))
                 kept = np.flatnonzero(keep)
                 place = np.full(len(keep), -1)
                 place[kept] = np.arange(len(kept))
@@ -211,7 +217,7 @@ def _blocks(labelled: DataFrame, subjects: int, model: np.ndarray | None, block_
 class SubjectModel:
     """Fitted to at most about ``most_labelled`` labelled documents, chosen by a hash of their id."""
 
-    def __init__(self, documents: DataFrame, labels: DataFrame, topics: list[str], *, most_labelled: int = 4000, steps: int = 40, rate: float = 0.05, seed: int = 11) -> None:
+    def __init__(self, documents: DataFrame, labels: DataFrame, topics: list[str], *, most_labelled: int = 4000, steps: int = 30, rate: float = 0.06, seed: int = 11) -> None:
         self.topics, self.spark = sorted(topics), documents.sparkSession
         n = len(self.topics)
         place = F.array_position(F.array(*[F.lit(t) for t in self.topics]), F.col("topic_id")) - 1 if n else F.lit(-1)
@@ -225,7 +231,7 @@ class SubjectModel:
         whole = _fit(_blocks(chosen, n, None), start, n, steps, rate)
         self.flat = _fit(_blocks(chosen, n, whole), whole, n, steps // 2, rate / 2)
 
-    def subjects(self, documents: DataFrame, *, least: float = 0.5, share: float = 0.65, least_words: int = 6) -> DataFrame:
+    def subjects(self, documents: DataFrame, *, least: float = 0.5, share: float = 0.65) -> DataFrame:
         """``doc_id, topic_id, words`` for each subject that fills ``share`` of a section with subject, or half of the document's."""
         sent = self.spark.sparkContext.broadcast((self.flat, self.topics))
 
@@ -233,6 +239,7 @@ class SubjectModel:
             flat, topics = sent.value
             p = Parameters.of(flat, len(topics))
             known: dict[str, int] = {}
+            bound = np.log(least / (1 - least))
             table = np.empty((1 << 12, len(topics)), np.float32)
 
             def outputs(found: list[str]) -> np.ndarray:
@@ -253,25 +260,28 @@ class SubjectModel:
                 for doc, content, held in zip(*(b.column(k).to_pylist() for k in range(3))):
                     tags = tag_tokens(held)
                     hint = outputs(tags) * TAG_WEIGHT if tags else None
-                    sections: dict[int, dict[int, float]] = {}
+                    sections: dict[int, dict[int, float]] = {}  # words of the paragraphs of each subject, and of any
+                    all_of: dict[int, float] = {}
                     parts = paragraphs(content)
                     headed = any(section for section, _ in parts)
                     for section, text in parts:
                         found = tokens(text)
-                        if len(found) < least_words or headed and not section:  # what stands before the first heading is no section
+                        if not found or headed and not section:  # what stands before the first heading is no section
                             continue
                         out = outputs(found)
-                        out = (out if hint is None else out * (1 - TAG_WEIGHT) + hint) + p.offsets
-                        best = int(out.argmax())
-                        if out[best] >= np.log(least / (1 - least)):
-                            of = sections.setdefault(section, {})
-                            of[best] = of.get(best, 0) + len(found) * (0.4 if _HAN.search(text) else 1.0)
+                        out = (out if hint is None else out * (1 - TAG_WEIGHT) + hint) * (len(found) / (len(found) + SMOOTH)) + p.offsets
+                        has = np.flatnonzero(out >= bound)
+                        if len(has):
+                            size = len(found) * (0.4 if _HAN.search(text) else 1.0)
+                            of, all_of[section] = sections.setdefault(section, {}), all_of.get(section, 0) + size
+                            for s in has.tolist():
+                                of[s] = of.get(s, 0) + size
                     whole: dict[int, float] = {}
                     for of in sections.values():
                         for s, n in of.items():
                             whole[s] = whole.get(s, 0) + n
-                    fills = {s for of in sections.values() for s, n in of.items() if n >= share * sum(of.values())}
-                    fills |= {s for s, n in whole.items() if n > 0.5 * sum(whole.values())}
+                    fills = {s for section, of in sections.items() for s, n in of.items() if n >= share * all_of[section]}
+                    fills |= {s for s, n in whole.items() if n > 0.5 * sum(all_of.values())}
                     for s in sorted(fills):
                         docs.append(doc), names.append(topics[s]), counts.append(whole[s])
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(names, pa.string()), pa.array(counts, pa.float64())], ["doc_id", "topic_id", "words"])
@@ -288,7 +298,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, topics: DataFrame
     contents have none; null ids are left out; a repeated id gets rows for each of its contents. Without labels or
     topics there are no rows.
     """
-    names = topics.filter(~F.col("name").isin(shelves)).select("id").limit(10_000).collect()  # a catalogue, not documents
+    names = topics.filter(~F.col("name").isin(shelves)).select("id").distinct().collect()  # a catalogue, not documents
     model = SubjectModel(documents, labels, [r[0] for r in names], **options)
     found = model.subjects(documents).select("doc_id", "topic_id").distinct()
     return found.join(stuffed, "doc_id", "left_anti") if stuffed is not None else found
