@@ -22,7 +22,7 @@ from terrace.plans.lineage import written
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the tokenizer cuts a text before pairing bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PARTS = 256
+PART_ROWS = 100_000
 _loaded: dict[str, object] = {}
 
 
@@ -182,9 +182,9 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, token
     return source.mapInArrow(count, "doc_id bigint, piece bigint, tokens bigint")
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """Adds ``number``: each row's place, from 0, among the rows of its ``key``. Keys are counted in parts, so that none is one task's work."""
-    parted = df.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)))
+def numbered(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Adds ``number``: each row's place, from 0, among the rows of its ``key``. Keys are counted in parts, more of them the more ``rows`` there are, so that none is one task's work."""
+    parted = df.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(16, rows // PART_ROWS))))
     ahead = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parted.groupBy(key, "part").agg(F.count("*").alias("n")).select(key, "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     within = F.row_number().over(Window.partitionBy(key, "part").orderBy("doc_id", "piece"))
@@ -192,15 +192,17 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
 
 
 def filled_containers(df: DataFrame, id_col: str, text_col: str, *, capacity: int = 2048, tokenizer: str = TOKENIZER, classes: int = 128, slack: int = 16) -> DataFrame:
-    """``doc_id, piece, tokens, container``: every text of ``df`` laid into containers of ``capacity`` tokens.
+    """``doc_id, piece, first_token, tokens, container``: every text of ``df`` laid into containers of ``capacity`` tokens.
 
-    Texts longer than a container are cut into full pieces and a rest, numbered from 0; all others are piece 0.
+    Texts longer than a container are cut into full pieces and a rest, numbered from 0; all others are piece 0. A piece
+    is the text's ``tokens`` tokens from ``first_token`` on.
     Null and empty texts have no tokens and lie in container 0. Rows without id are left out; a repeated id gets a row
     for each of its texts. Containers are numbered from 0; other columns are not read.
     """
     spark = df.sparkSession
     width = max(1, -(-capacity // classes))
     pieces = written(token_pieces(df, id_col, text_col, capacity, tokenizer), "pieces")
+    rows = pieces.count()
     full = pieces.filter(F.col("tokens") == capacity)
     loose = pieces.filter((F.col("tokens") > 0) & (F.col("tokens") < capacity)).withColumn("class", F.ceil(F.col("tokens") / width).cast("int"))
 
@@ -213,7 +215,7 @@ def filled_containers(df: DataFrame, id_col: str, text_col: str, *, capacity: in
         times = repeats(np.array([counted[k] for k in keys], np.int64), columns)
         for j in np.flatnonzero(times):
             slots.add({keys[c]: int(columns[c, j]) for c in np.flatnonzero(columns[:, j])}, int(times[j]))
-    placed = written(numbered(loose, "class").mapInArrow(_placer(spark, slots, "class"), "doc_id bigint, piece bigint, tokens bigint, container bigint"), "placed")
+    placed = written(numbered(loose, "class", rows).mapInArrow(_placer(spark, slots, "class"), "doc_id bigint, piece bigint, tokens bigint, container bigint"), "placed")
 
     rest = placed.filter("container < 0").drop("container")
     histogram = np.zeros(capacity + 1, np.int64)
@@ -223,10 +225,11 @@ def filled_containers(df: DataFrame, id_col: str, text_col: str, *, capacity: in
     last.containers = slots.containers
     for used, k in leftover_patterns(histogram, capacity):
         last.add(used, k)
-    late = numbered(rest, "tokens").mapInArrow(_placer(spark, last, "tokens"), "doc_id bigint, piece bigint, tokens bigint, container bigint")
-    whole = numbered(full, "tokens").select("doc_id", "piece", "tokens", (F.col("number") + last.containers).alias("container"))
+    late = numbered(rest, "tokens", rows).mapInArrow(_placer(spark, last, "tokens"), "doc_id bigint, piece bigint, tokens bigint, container bigint")
+    whole = numbered(full, "tokens", rows).select("doc_id", "piece", "tokens", (F.col("number") + last.containers).alias("container"))
     empty = pieces.filter("tokens = 0").withColumn("container", F.lit(0).cast("bigint"))
-    return placed.filter("container >= 0").unionByName(late).unionByName(whole).unionByName(empty)
+    every = placed.filter("container >= 0").unionByName(late).unionByName(whole).unionByName(empty)
+    return every.select("doc_id", "piece", (F.col("piece") * capacity).alias("first_token"), "tokens", "container")
 
 
 def _placer(spark, slots: Slots, key: str):
@@ -244,3 +247,11 @@ def fill(placed: DataFrame, capacity: int = 2048) -> DataFrame:
     """``containers, tokens, most, filled``: how many containers there are, the tokens in all and in the fullest, and the share of space used."""
     of = placed.filter("tokens > 0").groupBy("container").agg(F.sum("tokens").alias("t"))
     return of.agg(F.count("*").alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.max("t").alias("most"), F.round(F.sum("t") / (F.count("*") * capacity), 6).alias("filled"))
+
+
+def kept_whole(placed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """``doc_id, whole, overfull``: whether a document's pieces follow each other without a gap, each once, and how many of them lie in containers of more than ``capacity`` tokens."""
+    sizes = placed.groupBy("container").agg(F.sum("tokens").alias("held"))
+    last = F.max(F.struct("piece", "tokens"))
+    gapless = (F.count("*") == F.countDistinct("piece")) & (F.count("*") == F.max("piece") + 1) & (F.sum("tokens") == F.max("piece") * capacity + last["tokens"])
+    return placed.join(sizes, "container").groupBy("doc_id").agg(gapless.alias("whole"), F.count_if(F.col("held") > capacity).alias("overfull"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.containers import fill, filled_containers
+from terrace.llm.containers import fill, filled_containers, kept_whole
 from terrace.llm.cooccurrence import basket, cooccurrence, found_together, with_lift
 from terrace.llm.leaks import leaked_spans
 from terrace.llm.near_duplicates import NearDuplicates
@@ -107,6 +107,11 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill(p6_containers(spark, folder))
 
 
+def p6_kept_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces follow each other, and no container holds more than 2,048 tokens."""
+    return kept_whole(written(p6_containers(spark, folder), "containers"))
+
+
 _WORDS = r"regexp_extract_all(regexp_replace(lower({}), '([\x{{4E00}}-\x{{9FFF}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
 _USABLE = "len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 _NEAREST = f"""
@@ -121,6 +126,20 @@ n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
 p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM r a JOIN r b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL)
 SELECT doc_a, doc_b FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE 2 * shared >= x.n + y.n - shared
 """
+_GROUPS = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("coalesce(title, '') || ' ' || coalesce(content, '')")} AS w FROM documents),
+r AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 20)),
+m AS (SELECT doc_id, md5(string_agg(run, '|' ORDER BY run)) AS mark, count(*) AS n FROM r GROUP BY doc_id),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY mark) AS class_id, n FROM m),
+q AS (SELECT r.* FROM r JOIN c USING (doc_id) WHERE doc_id = class_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM q a JOIN q b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 10 * shared >= 8 * (cx.n + cy.n - shared)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT DISTINCT x AS s, x AS t FROM b UNION SELECT reach.s, b.y FROM reach JOIN b ON b.x = reach.t),
+g AS (SELECT s, min(t) AS group_id FROM reach GROUP BY s),
+l AS (SELECT x, count(*) AS links FROM b GROUP BY x)
+SELECT c.doc_id, c.class_id, coalesce(g.group_id, c.class_id) AS group_id, coalesce(l.links, 0) AS links FROM c LEFT JOIN g ON g.s = c.class_id LEFT JOIN l ON l.x = c.class_id
+"""
 _LEAKED = f"""
 WITH i AS (SELECT item_id, {_WORDS.format("passage")} AS w FROM eval_items WHERE passage IS NOT NULL),
 g AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
@@ -156,12 +175,14 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return page_shares(table(spark, folder, "documents", spread=True), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p2_found": p2_found, "p2_composition": p2_composition, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall, "p2_found": p2_found, "p2_composition": p2_composition, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_containers": p6_containers, "p6_fill": p6_fill, "p6_kept_whole": p6_kept_whole, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLE: dict[str, str] = {
     "p1_found": _NEAREST + "SELECT DISTINCT least(id, neighbour) AS doc_a, greatest(id, neighbour) AS doc_b FROM k WHERE cosine >= 0.8",
     "p1_neighbours": _NEAREST + "SELECT id, neighbour, round(round(cosine, 9), 6) AS cosine FROM k",
     "p4_found": _SHINGLED,
+    "p4_groups": _GROUPS,
+    "p6_kept_whole": "SELECT doc_id, true AS whole, 0 AS overfull FROM documents",
     "p7_found": _LEAKED + "SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (run)",
     "p7_spans": _SPANS,
     "p5_found": _BASKET_SQL + "SELECT tag_a, tag_b FROM s WHERE n_ab >= 4 AND n_ab * baskets >= 3 * n_a * n_b",

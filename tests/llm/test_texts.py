@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.llm.containers import Slots, fill, filled_containers, leftover_patterns, non_negative_least_squares, patterns, repeats
+from terrace.llm.containers import Slots, fill, filled_containers, kept_whole, leftover_patterns, non_negative_least_squares, patterns, repeats
 from terrace.llm.leaks import FullTextIndex, WaveletMatrix, leaked_spans, suffix_order
 from terrace.llm.stuffed_pages import MARKS, STATES, Model, line_marks, page_shares, steps, stuffed_pages
 from terrace.llm.subjects import Block, Parameters, document_subjects, paragraphs
@@ -253,6 +253,10 @@ def test_containers(spark):
     assert max(sums.values()) <= 256 and {r.doc_id for r in got} == {r[0] for r in rows if r[0] is not None}
     assert sorted(r.piece for r in got if r.doc_id == 902) == list(range(12)) and [r.tokens for r in got if r.doc_id in (900, 901)] == [0, 0]
     assert len([r for r in got if r.doc_id == 3000]) == 2 and len(got) == len(rows) - 1 + 11 + sum(r.piece > 0 and r.doc_id < 300 for r in got)
+    assert all(r.first_token == 256 * r.piece for r in got)
+    checked = {r.doc_id: r for r in kept_whole(placed, 256).collect()}
+    assert all(r.overfull == 0 and r.whole == (k != 3000) for k, r in checked.items()) and len(checked) == len({r.doc_id for r in got})  # 3000 is given twice
+    assert {r.overfull for r in kept_whole(placed, 200).collect()} - {0} and not kept_whole(placed.filter("piece <> 3"), 256).filter("doc_id = 902").first().whole
     total = fill(placed, 256).first()
     assert total.filled > 0.93 and total.containers == len([c for c, n in sums.items() if n])
     assert filled_containers(df.limit(0), "doc", "body", capacity=256).collect() == []
