@@ -117,6 +117,22 @@ def headings(text: str) -> list[Heading]:
     return found
 
 
+def chinese(mark: Heading) -> bool:
+    """Whether a heading is a numbered Chinese line."""
+    return any(pattern.match(mark.title) and mark.level == level for pattern, level in _CHINESE)
+
+
+def parents(marks: list[Heading]) -> list[int]:
+    """For each heading the place of the one above it: the last before it of a smaller level, -1 for none."""
+    out, open_marks = [], []
+    for k, mark in enumerate(marks):
+        while open_marks and marks[open_marks[-1]].level >= mark.level:
+            open_marks.pop()
+        out.append(open_marks[-1] if open_marks else -1)
+        open_marks.append(k)
+    return out
+
+
 def without_front_matter(text: str) -> str:
     """A text without its blocks between two lines ``---`` of which an inner line holds a colon, wherever they stand."""
     kept, open_at = [], None

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -19,6 +20,7 @@ from terrace.plans.catalogue import sql_strip
 from terrace.plans.expressions import sql_prefix
 from terrace.plans.lineage import shared_folder
 from terrace.plans.searches import sql_hashed
+from terrace.sources.store import TABLES, conformed, ensured, schema
 from terrace.sources.tables import table
 from terrace.streaming import jobs
 
@@ -38,17 +40,49 @@ def query(sql: str | None = None):
     return add
 
 
+def _headings(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, place, first, last, level, title, parent, numbered`` for every heading of every document, in order."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"id": pa.string(), "place": pa.int32(), "first": pa.int64(), "last": pa.int64(), "level": pa.int64(), "title": pa.string(), "parent": pa.int32(), "numbered": pa.bool_()}
+        for b in batches:
+            rows = []
+            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+                marks = markdown.headings(markdown.without_front_matter((x.as_py() or "").replace("\r\n", "\n")))
+                rows += [(i, k, *h, up, markdown.chinese(h)) for k, (h, up) in enumerate(zip(marks, markdown.parents(marks)))]
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+
+    source = table(spark, folder, "documents", spread=True).select("id", "content")
+    return source.mapInArrow(scan, "id string, place int, first bigint, last bigint, level bigint, title string, parent int, numbered boolean")
+
+
 @query()
 def heading_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Every heading of every document: place, level, title. Numbered Chinese lines count as headings."""
+    return _headings(spark, folder).select("id", "first", "last", "level", "title")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i.as_py(), *h) for i, x in zip(b.column(0), b.column(1)) for h in markdown.headings(markdown.without_front_matter((x.as_py() or "").replace("\r\n", "\n")))]
-            columns = list(zip(*rows)) or [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["id", "first", "last", "level", "title"])
 
-    return table(spark, folder, "documents", spread=True).select("id", "content").mapInArrow(scan, "id string, first bigint, last bigint, level bigint, title string")
+@query()
+def chinese_heading_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The numbered Chinese lines that serve as headings, outside of code, quotes, lists and tables."""
+    return _headings(spark, folder).filter("numbered").select("id", "first", "last", "level", "title")
+
+
+@query()
+def merge_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each document the headings of both kinds in one sequence: how many, the deepest level, and whether none begins before another ends."""
+    from pyspark.sql import Window
+
+    before = F.lag("last").over(Window.partitionBy("id").orderBy("place"))
+    marks = _headings(spark, folder).withColumn("apart", F.coalesce(F.col("first") >= before, F.lit(True)))
+    return marks.groupBy("id").agg(F.count("*").alias("headings"), F.count_if("numbered").alias("numbered"), F.max("level").alias("deepest"), F.bool_and("apart").alias("apart"))
+
+
+@query()
+def split_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The tree of each document's headings: for each its place, level and title, and the place of the heading above it, -1 for none."""
+    return _headings(spark, folder).select("id", "place", "level", "title", "parent")
 
 
 @query()
@@ -92,6 +126,17 @@ def materialize_path(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("document_id", F.when(F.col("title") == "", F.concat_ws("/", "document_id", F.lit("chapter"), "k")).otherwise(F.concat_ws("/", "document_id", "title")).alias("path"))
 
 
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, {len(schema(n))} AS width, count(*) AS held FROM {n}" for n in TABLES))
+def src_schema_init(spark: SparkSession, folder: str) -> DataFrame:
+    """The store's tables, made empty in a new folder, with the given rows brought to their columns and added: name, columns and rows of each."""
+    made = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    parts = []
+    for name in ensured(spark, made):
+        rows = table(spark, made, name).unionByName(conformed(table(spark, folder, name), name))
+        parts.append(rows.agg(F.count("*").alias("held")).select(F.lit(name).alias("name"), F.lit(len(rows.columns)).alias("width"), "held"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("SELECT id, CASE WHEN lower(trim(coalesce(format, ''))) NOT IN ('markdown', 'md') THEN 'format' WHEN octet_length(encode(coalesce(content, ''))) > 20000 THEN 'bytes' WHEN len(content) > 10000 THEN 'characters' ELSE 'ok' END AS verdict FROM documents")
 def validate_ingest(spark: SparkSession, folder: str) -> DataFrame:
     size = F.octet_length(F.coalesce("content", F.lit("")))

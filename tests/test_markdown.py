@@ -87,3 +87,25 @@ def test_a_marker_stays_with_the_text_before_it(spark):
 def test_text_before_the_first_heading_may_exceed_the_budget(spark):
     text = "x" * 500 + "\n\n# A\n\n" + "y" * 200
     assert [len(c) for _, c in cut(spark, [("n", "T", text)], budget=128, stride=64)] == [500 + 2 + 1 + 2 + 200]
+
+
+def test_windows_of_oversized_texts(spark):
+    """Paths and sizes at a budget of 128 and a stride of 64, for texts without headings, below one and below two."""
+    words = ("all work and no play " * 300)[:20_000]
+    cases = {"none": words[:1979], "one": "# Parent Section\n\n" + words[:4499], "two": "# Level One\n\n## Level Two\n\n" + words[:5599], "before": "ahead\n\n# Parent Section\n\n" + words[:600]}
+    df = spark.createDataFrame([(k, "Title", x) for k, x in cases.items()], "id string, t string, c string")
+    got = {}
+    for r in split_chapters(df, "id", "t", "c", budget=128, stride=64).orderBy("ordinal").collect():
+        got.setdefault(r.document_id, []).append((r.path, r.tokens))
+    assert [p for p, _ in got["none"]] == [f"none/__root__/{k}" for k in range(1, 8)] and got["none"][-1][1] == 111
+    assert [p for p, _ in got["one"]] == [f"one/Parent Section/{k}" for k in range(1, 18)]
+    assert [p for p, _ in got["two"]] == ["two/Level One", *[f"two/Level One/Level Two/{k}" for k in range(1, 22)]] and got["two"][0][1] == 2
+    assert [p for p, _ in got["before"]] == [f"before/Parent Section/{k}" for k in (1, 2)] and got["before"][0][1] == 131
+    assert all(t in (127, 128) for k in ("none", "one", "two") for p, t in got[k][1:-1])
+
+
+def test_trees_and_kinds_of_headings():
+    marks = markdown.headings("# A\n\n### B\n\n## C\n\n一、总则\n\ntext\n\n（一）细则\n\n# 一、D\n\n```\n二、no\n```\n")
+    assert [(m.level, m.title) for m in marks] == [(1, "A"), (3, "B"), (2, "C"), (2, "一、总则"), (3, "（一）细则"), (1, "一、D")]
+    assert markdown.parents(marks) == [-1, 0, 0, 0, 3, -1] and [markdown.chinese(m) for m in marks] == [False, False, False, True, True, False]
+    assert markdown.parents([]) == []
