@@ -54,15 +54,27 @@ FUNCTION_WORDS = frozenset(
     "every some all both either neither there here also only just how why whether into out up down about per".split()
 ) | frozenset("的了是在和与也把被将对从到又而且但若则时就只没不都已再或为之其此那这有会能可后前先每由给让")
 
-_CUT = re.compile(r"""(?<=[.!?])["'”’)\]]*\s+|(?<=[。！？])""")
+_CUT = re.compile(r"""[.!?]["'”’)\]]*\s+|[。！？]""")
 _SENTENCE = re.compile(r"""[.!?。！？]["'”’)\]]*\s*$""")
 _LINK = re.compile(r"https?://|www\.|<a\s|\]\(|\bhref=|(?<=[\w-])\.(?:com|org|net|io|test|example|invalid|html?)\b", re.I)
+_DOTTED = re.compile(r"\.\w")
 _SEPARATOR = re.compile(r"[,;/|>»›·•、，；｜#+]|\s[-–—:]\s")
 _CODE = re.compile(r"^\s*[A-Za-z_]\w*\s*(?:=|:=|\+=)\s*\S")
 _FIGURE = re.compile(r"[\d.,%+-]*\d[\d.,%]*$")
 _URL_TEXT = re.compile(r"https?://\S+|www\.\S+|<[^>]*>", re.I)
 
 
+def _sentences(line: str) -> list[str]:
+    ends = [m.end() for m in _CUT.finditer(line)]
+    return [line[a:b] for a, b in zip([0, *ends], [*ends, len(line)])] if ends else [line]
+
+
+def _links(line: str) -> int:
+    """How many links a line holds; most lines hold nothing that any link has."""
+    may = "/" in line or "<" in line or "](" in line or "=" in line or "w." in line or "W." in line or _DOTTED.search(line)
+    return len(_LINK.findall(line)) if may else 0
+
+
 def steps(text: str | None) -> list[tuple[str, list[str], int]]:
     """The lines of a page that hold words, cut at the ends of sentences, with their words and how much they look like a row of a table or code.
 
@@ -74,7 +86,7 @@ def steps(text: str | None) -> list[tuple[str, list[str], int]]:
     for k, line in enumerate(lines):
         row = len(cells[k]) > 1 and (k > 0 and len(cells[k - 1]) == len(cells[k]) or k + 1 < len(lines) and len(cells[k + 1]) == len(cells[k]))
         form = 2 if _CODE.match(line) or row and any(_FIGURE.match(c.strip()) for c in cells[k]) else int(row)
-        out += [(part, w, form) for part in ([line] if form else _CUT.split(line)) if (w := words(part))]
+        out += [(part, w, form) for part in ([line] if form else _sentences(line)) if (w := words(part))]
     return out
 
 
@@ -84,16 +96,17 @@ def line_marks(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     pairs = Counter(p for _, w, _ in page for p in zip(w, w[1:]))
     own = Counter(x for _, w, _ in page for x in w if x not in FUNCTION_WORDS)
     often, filling = max(3, sum(len(w) for _, w, _ in page) / 100), max(3, own.total() * 0.03)
+    repeated, filler = {p for p, n in pairs.items() if n >= often}, {x for x, n in own.items() if n >= filling}
     codes, sizes = np.zeros((len(page), len(MARKS)), np.uint8), np.zeros(len(page), np.int32)
     for k, (line, w, form) in enumerate(page):
         n = len(w)
-        links = len(_LINK.findall(line))
+        links = _links(line)
         bare = _URL_TEXT.sub(" ", line) if links or "<" in line else line
         between = len(_SEPARATOR.findall(bare))
         held = [x for x in w if x not in FUNCTION_WORDS]
         glue = n - len(held)
-        again = sum(pairs[p] >= often for p in zip(w, w[1:])) / max(1, n - 1)
-        again = (again + sum(own[x] >= filling for x in held) / max(1, len(held))) / 2
+        again = sum(map(repeated.__contains__, zip(w, w[1:]))) / max(1, n - 1) if repeated else 0
+        again = (again + sum(map(filler.__contains__, held)) / max(1, len(held))) / 2
         codes[k] = (
             2 if _SENTENCE.search(bare) else int(n > 25),  # a long line without a sentence's end says more
             0 if not links else 1 if links * 12 < n else 2,
