@@ -182,6 +182,44 @@ def ip_prefix(ip: Column) -> Column:
     return F.when(F.contains(ip, F.lit(":")), F.substring_index(ip, ":", 4)).otherwise(F.substring_index(ip, ".", 3))
 
 
+#: Names of settings that are never masked, that always are, and endings of such that are.
+OPEN_KEYS = (
+    "max_tokens", "min_tokens", "temperature", "top_p", "sample_ratio", "progressive_answer_max_tokens", "progressive_answer_max_references",
+    "progressive_answer_excerpt_max_bytes", "force_sample_query_param", "force_sample_header", "token_expiry_mode", "disable_think", "num_cpu", "gomaxprocs", "compiler",
+    "span_count", "max_size", "max_chunk_size", "chapter_max_tokens", "sliding_stride_tokens", "branch_recall_multiplier", "branch_recall_floor", "branch_recall_ceiling",
+    "hnsw_m", "hnsw_ef_search", "vector_dim", "cold_doc_count",
+)
+SECRET_KEYS = (
+    "password", "passwd", "pwd", "passphrase", "api_key", "apikey", "apisecret", "apisecretkey", "secret", "client_secret", "clientsecret",
+    "private_key", "privatekey", "privkey", "access_token", "refresh_token", "id_token", "session_token", "authorization", "cookie", "set_cookie", "set-cookie",
+    "dsn", "database_url", "databaseurl", "connection_string", "connectionstring", "jdbc_url", "jdbcurl", "conn_string",
+    "webhook_secret", "signing_secret", "signing_key", "encryption_key", "encrypted_password", "otp_secret", "totp_secret", "mfa_secret", "ssh_key", "tls_key", "tlskey",
+)
+SECRET_ENDINGS = (
+    "_password", "_passwd", "_pwd", "_passphrase", "_secret", "_api_key", "_apikey", "_private_key", "_client_secret", "_access_token", "_refresh_token", "_id_token", "_session_token",
+    "_dsn", "_webhook_secret", "_signing_secret", "_signing_key", "_encryption_key", "_otp_secret", "_totp_secret", "_mfa_secret", "_bearer", "_credential", "_credentials", "_token",
+)
+SECRET_KINDS = ("api", "secret", "private", "encrypt", "signing", "webhook", "license")  # of what ends in _key
+
+
+def secret_key(key: Column) -> Column:
+    """Whether a setting's value is masked whatever it is, by its name; false for null and blank names."""
+    name = F.lower(strip_text(F.coalesce(key, F.lit(""))))
+    kind = F.endswith(name, F.lit("_key")) & name.rlike("|".join(SECRET_KINDS))
+    told = name.isin(*SECRET_KEYS) | name.rlike("(?:" + "|".join(SECRET_ENDINGS) + ")$") | F.startswith(name, F.lit("secret_")) | kind
+    return told & ~name.isin(*OPEN_KEYS)
+
+
+def redact_map(settings: Column) -> Column:
+    """A map of settings with values masked by their names, with their length in bytes, and the others by ``redact``; null values of other names stay null."""
+
+    def masked(key: Column, value: Column) -> Column:
+        whole = F.when(strip_text(F.coalesce(value, F.lit(""))) == "", F.lit(MASK)).otherwise(F.concat(F.lit(f"{MASK} (scalar was "), F.octet_length(value).cast("string"), F.lit(" chars)")))
+        return F.when(secret_key(key), whole).otherwise(redact(value))
+
+    return F.transform_values(settings, masked)
+
+
 def reference_entry(number: Column, title: Column, document_id: Column, path: Column, status: Column, relevance: Column, content: Column, most: int = 3500) -> Column:
     """One entry of a prompt's list of references; its excerpt takes at most ``most`` bytes. Nulls are empty, an empty status is left out."""
     of = lambda c: F.coalesce(c, F.lit(""))

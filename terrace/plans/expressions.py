@@ -172,6 +172,19 @@ def redact_value(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("id", t.redact(made).alias("clean"))
 
 
+@query(
+    """
+SELECT id, CASE WHEN trim(coalesce(span_id, '')) = '' THEN '[redacted]' ELSE '[redacted] (scalar was ' || octet_length(encode(span_id)) || ' chars)' END AS token,
+       CASE WHEN trim(coalesce(status_message, '')) = '' THEN '[redacted]' ELSE '[redacted] (scalar was ' || octet_length(encode(status_message)) || ' chars)' END AS license, name AS shown, kind AS tokens FROM otel_spans"""
+)
+def redact_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans as maps of settings under names that are masked and names that aren't."""
+    names = {" Trace_Token": "span_id", "license_key": "status_message", "name": "name", "max_tokens": "kind"}
+    made = t.redact_map(F.create_map(*[x for name, c in names.items() for x in (F.lit(name), F.col(c))]))
+    at = lambda name: F.try_element_at(made, F.lit(name))
+    return table(spark, folder, "otel_spans").select("id", at(" Trace_Token").alias("token"), at("license_key").alias("license"), at("name").alias("shown"), at("max_tokens").alias("tokens"))
+
+
 @query("SELECT event_id, sha256(lower('Agent/' || event_type) || '|' || (user_id % 250) || '.10.20' || '|UTC|' || props) AS fingerprint FROM events")
 def fingerprint_hash(spark: SparkSession, folder: str) -> DataFrame:
     ip = F.concat((F.col("user_id") % 250).cast("string"), F.lit(".10.20."), (F.col("event_id") % 250).cast("string"))

@@ -69,6 +69,14 @@ def test_redaction(spark):
     assert each(spark, t.redact, [*masked, None]) == [*masked.values(), None]
 
 
+def test_settings_are_masked_by_their_names(spark):
+    rows = {"API_KEY": "abc", " db_password ": "字", "max_tokens": "12", "user_token": None, "secret_x": " ", "map_key": "m", "license_key": "x", "url": "db://a:b@h", "note": None, "tokens": "sk-short"}
+    got = spark.createDataFrame([(rows,)], "m map<string, string>").select(t.redact_map(F.col("m"))).first()[0]
+    masked = lambda n: f"[redacted] (scalar was {n} chars)"
+    assert got == {**rows, "API_KEY": masked(3), " db_password ": masked(3), "user_token": "[redacted]", "secret_x": "[redacted]", "license_key": masked(1), "url": "db://*:*@h"}
+    assert spark.createDataFrame([(None,)], "m map<string, string>").select(t.redact_map(F.col("m"))).first()[0] is None
+
+
 def test_references(spark):
     entry = lambda x: t.reference_entry(F.lit(2), F.lit(None).cast("string"), F.lit("d"), F.lit("d/p"), x, F.lit(0.5), F.lit("字字"), 4)
     assert each(spark, entry, ["hot", ""]) == [f"\n### Reference [^2^]\nTitle: \nDocument ID: d\nPath: d/p\n{s}Relevance (0-1): 0.5000\nExcerpt:\n字\n…(truncated)\n" for s in ("Document status: hot\n", "")]
